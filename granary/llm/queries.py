@@ -7,7 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, fingerprints, line_dedup, ngram_join, packing, sharding, substring_dedup
+from . import common, decontamination, fingerprints, line_dedup, ngram_join, packing, sharding, substring_dedup
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontamination.contaminated(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +49,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_sharding": op2_sharding,
     "op3_ngram_join": op3_ngram_join,
     "op5_fingerprints": op5_fingerprints,
