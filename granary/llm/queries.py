@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontamination, fingerprints, line_dedup, ngram_join, packing, sharding, substring_dedup
+from . import common, decontamination, fingerprints, line_dedup, ngram_join, packing, pii, sharding, substring_dedup
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,11 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = pii.find(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     got = fingerprints.edited_likeness(docs)
@@ -52,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_sharding": op2_sharding,
     "op3_ngram_join": op3_ngram_join,
+    "op4_pii": op4_pii,
     "op5_fingerprints": op5_fingerprints,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_packing": op7_packing,
