@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontamination, fingerprints, line_dedup, ngram_join, packing, pii, sharding, substring_dedup
+from . import common, decontamination, fingerprints, line_dedup, ngram_join, packing, pii, quality, quotes, sharding, substring_dedup
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +53,17 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.deduplicate(docs).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, common.table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("doc_id", F.coalesce(quality.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def op10_chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = quotes.link(common.table(spark, sf_dir, "conversations"))
+    return got.select("conv_id", "turn", "role", F.sha2("text", 256).alias("text_sha256"), "n_quoted", "quote_depth", "parent_turn", "linked", "root_turn", "depth", "position")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_sharding": op2_sharding,
@@ -62,6 +73,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_substring_dedup": op6_substring_dedup,
     "op7_packing": op7_packing,
     "op8_line_dedup": op8_line_dedup,
+    "op9_quality": op9_quality,
+    "op10_chat_quotes": op10_chat_quotes,
 }
 
 ORACLE_SQL = {
