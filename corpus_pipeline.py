@@ -7,22 +7,46 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import common, line_dedup
+from granary.llm import common, decontamination, line_dedup, ngram_join, packing, quality
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the classifier, fitted on their labels, predicts to be good."""
+    model = quality.fit(docs, common.table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).where("predicted = 1").select(*COLUMNS)
+
+
 def _line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The text of every document without repeated windows of three lines; n_chars is counted anew."""
-    common.ship(spark)
     return line_dedup.deduplicate(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates, that of the least id."""
+    return ngram_join.one_of_each(docs).select(*COLUMNS)
+
+
+def _decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that hold no benchmark item."""
+    return decontamination.clean(docs, common.table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+
+
+def _packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of all documents in sequences: a row for each piece, with its ids and their checksum."""
+    return packing.pack(docs).withColumn("ids_crc32", F.crc32("ids"))
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", _quality),
     ("line_dedup", _line_dedup),
+    ("near_duplicates", _near_duplicates),
+    ("decontamination", _decontamination),
+    ("packing", _packing),
 ]
 
-#: The tokenizer and the fitted classifier are beyond SQL; tests/llm holds the stages against brute force.
+#: The fitted classifier and the tokenizer are beyond SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
