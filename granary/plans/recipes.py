@@ -1 +1,187 @@
-"""Queries."""
+"""Recipe consolidation over documents as records: deduplication, merging, exploding, parsing, dictionaries, classes."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+from ..operators import merging, ranking
+from .registry import query, table
+
+KEY_SQL = r"lower(regexp_replace(text, '\s+', '', 'g'))"
+
+
+def keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.withColumn("key", F.lower(F.regexp_replace("text", r"\s+", ""))).withColumn("rank", F.regexp_replace("source", "[^0-9]", "").cast("int"))
+
+
+@query("dedup_richest", f"SELECT md5(key) AS key_md5, doc_id, source, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY key, lang ORDER BY n_chars DESC, doc_id) AS k FROM (SELECT *, {KEY_SQL} AS key FROM documents)) WHERE k = 1")
+def dedup_richest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = keyed(spark, sf_dir).select(F.md5("key").alias("key_md5"), "lang", "doc_id", "source", "n_chars")
+    return merging.richest(docs, ["key_md5", "lang"], "n_chars", "doc_id").select("key_md5", "doc_id", "source", "n_chars")
+
+
+@query("dedup_first_wins", f"SELECT doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY key, lang ORDER BY doc_id) AS k FROM (SELECT *, {KEY_SQL} AS key FROM documents)) WHERE k = 1")
+def dedup_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = keyed(spark, sf_dir).select(F.md5("key").alias("key_md5"), "lang", "doc_id")
+    return merging.first_wins(docs, ["key_md5", "lang"], "doc_id").select("doc_id", "lang")
+
+
+@query("merge_cross_source", f"""
+WITH d AS (SELECT *, {KEY_SQL} AS key, regexp_replace(source, '[^0-9]', '', 'g')::INT AS rank FROM documents),
+one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key, source ORDER BY n_chars DESC, doc_id) AS k FROM d) WHERE k = 1)
+SELECT md5(key) AS key_md5, arg_min(doc_id, rank) AS doc_id, arg_min(lang, rank) AS lang, arg_max(len(string_split(text, chr(10))), {{'n': len(string_split(text, chr(10))), 'r': -rank}})::BIGINT AS n_lines, string_agg(source, ',' ORDER BY rank) AS sources
+FROM one GROUP BY key""")
+def merge_cross_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = keyed(spark, sf_dir).select(F.md5("key").alias("key_md5"), "rank", "source", "doc_id", "lang", "n_chars", F.split("text", "\n").alias("lines"), F.array("source").alias("sources"))
+    one = merging.richest(docs, ["key_md5", "source"], "n_chars", "doc_id")
+    got = merging.merge_sources(one, "key_md5", "rank", ["doc_id", "lang"], ["lines"], ["sources"])
+    return got.select("key_md5", "doc_id", "lang", F.size("lines").cast("long").alias("n_lines"), F.array_join("sources", ",").alias("sources"))
+
+
+@query("merge_map_fold")
+def merge_map_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event properties of a user, folded hour by hour; tests hold the fold against a loop."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", F.create_map(F.col("event_type"), F.round("value", 3).cast("string"), F.concat(F.lit("u"), (F.col("event_id") % 3).cast("string")), F.col("event_id").cast("string")).alias("m"))
+    best = ranking.top_per_group(events, ["user_id"], 8, F.col("event_id"))
+    got = merging.merge_sources(best, "user_id", "rank", [], [], [], ["m"])
+    return got.select("user_id", F.array_join(F.array_sort(F.transform(F.map_entries("m"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",").alias("folded"))
+
+
+@query("union_distinct_labels", """
+WITH u AS (SELECT 'part' AS source, p_name AS name FROM part UNION ALL SELECT 'supplier', s_name FROM supplier UNION ALL SELECT 'customer', c_name FROM customer),
+c AS (SELECT source, count(*)::BIGINT AS raw, count(DISTINCT name)::BIGINT AS distinct_names FROM u WHERE length(name) >= 2 GROUP BY source)
+SELECT * FROM c UNION ALL SELECT 'all', count(*)::BIGINT, count(DISTINCT name)::BIGINT FROM u WHERE length(name) >= 2""")
+def union_distinct_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [table(spark, sf_dir, t).select(F.lit(t).alias("source"), F.col(f"{t[0]}_name").alias("name")) for t in ("part", "supplier", "customer")]
+    names = parts[0].unionByName(parts[1]).unionByName(parts[2]).where(F.length("name") >= 2)
+    grouped = names.groupingSets([[F.col("source")], []], "source").agg(F.count("*").alias("raw"), F.count_distinct("name").alias("distinct_names"))
+    return grouped.select(F.coalesce("source", F.lit("all")).alias("source"), "raw", "distinct_names")
+
+
+@query("last_wins_dim", "SELECT l_partkey, l_orderkey, l_linenumber, l_returnflag FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey DESC, l_linenumber DESC, l_returnflag DESC) AS k FROM lineitem) WHERE k = 1")
+def last_wins_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_returnflag")
+    return merging.last_wins(lines, ["l_partkey"], "l_orderkey", "l_linenumber", "l_returnflag").select("l_partkey", "l_orderkey", "l_linenumber", "l_returnflag")
+
+
+@query("explode_steps_renumber", r"""
+WITH l AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, ls FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+c AS (SELECT doc_id, i, trim(regexp_replace(ls[i], '^\s*\d+[.)]\s*', '')) AS s FROM l)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i)::INT AS step, md5(s) AS description_md5 FROM c WHERE s <> ''""")
+def explode_steps_renumber(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", merging.dense_steps(F.split("text", "\n")).alias("steps"))
+    return docs.select("doc_id", F.inline("steps")).select("doc_id", F.col("step").cast("int").alias("step"), F.md5("description").alias("description_md5"))
+
+
+@query("ingredient_list_parse", r"""
+WITH p AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[,\n·•|]')) AS s FROM documents),
+c AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(s, '\([^)]*\)', '', 'g'), '\s*[0-9]+[0-9./]*\s*[A-Za-z가-힣]*\s*$', '', 'g'), '^[가-힣]*:', '')) AS s FROM p)
+SELECT doc_id, count(*)::BIGINT AS n_names, md5(string_agg(s, '|' ORDER BY s)) AS names_md5 FROM c WHERE length(s) BETWEEN 2 AND 20 GROUP BY doc_id""")
+def ingredient_list_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.array_sort(merging.listed_names(F.col("text"))).alias("names")).where(F.size("names") > 0)
+    return docs.select("doc_id", F.size("names").cast("long").alias("n_names"), F.md5(F.array_join("names", "|").cast("binary")).alias("names_md5"))
+
+
+DICT_SQL = """
+r AS (SELECT p_partkey AS pos, p_name AS raw, split_part(p_name, ' ', 2) AS standard FROM part),
+m AS (SELECT standard, count(*) AS n FROM r GROUP BY standard),
+master AS (SELECT row_number() OVER (ORDER BY n DESC, standard)::BIGINT AS id, standard AS standard_name, CASE WHEN standard LIKE '%o%' THEN 'grain' WHEN standard LIKE '%e%' THEN 'dairy' ELSE 'other' END AS category, n::BIGINT AS observed_count FROM m)"""
+
+
+def master(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = table(spark, sf_dir, "part").select(F.split_part("p_name", F.lit(" "), F.lit(2)).alias("standard_name"))
+    counted = names.groupBy("standard_name").agg(F.count("*").alias("observed_count"))
+    return ranking.numbered(counted, "id", F.desc("observed_count"), F.col("standard_name")).withColumn("category", X.first_match(F.col("standard_name"), [("o", "grain"), ("e", "dairy")], "other"))
+
+
+@query("dictionary_master", f"WITH {DICT_SQL} SELECT * FROM master")
+def dictionary_master(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return master(spark, sf_dir).select("id", "standard_name", "category", "observed_count")
+
+
+@query("dictionary_alias", f"WITH {DICT_SQL} SELECT m.id AS ingredient_id, r.raw AS alias_name, count(*)::BIGINT AS observed_count FROM r JOIN master m ON m.standard_name = r.standard WHERE r.raw <> r.standard GROUP BY ALL")
+def dictionary_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = table(spark, sf_dir, "part").select(F.col("p_name").alias("alias_name"), F.split_part("p_name", F.lit(" "), F.lit(2)).alias("standard_name")).where("alias_name <> standard_name")
+    counted = raw.groupBy("standard_name", "alias_name").agg(F.count("*").alias("observed_count"))
+    return counted.join(master(spark, sf_dir).select("standard_name", F.col("id").alias("ingredient_id")), "standard_name").select("ingredient_id", "alias_name", "observed_count")
+
+
+@query("shelf_rules", f"WITH {DICT_SQL} SELECT category, first_name, days FROM (SELECT category, standard_name AS first_name, CASE category WHEN 'grain' THEN 180 WHEN 'dairy' THEN 7 ELSE 14 END AS days, row_number() OVER (PARTITION BY category ORDER BY id) AS k FROM master) WHERE k = 1")
+def shelf_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = merging.first_wins(master(spark, sf_dir), ["category"], "id")
+    return first.select("category", F.col("standard_name").alias("first_name"), F.when(F.col("category") == "grain", 180).when(F.col("category") == "dairy", 7).otherwise(14).alias("days"))
+
+
+@query("dense_recipe_ids", "SELECT 'R' || lpad(row_number() OVER (ORDER BY o_orderpriority, o_orderkey)::VARCHAR, 5, '0') AS recipe_no, o_orderkey FROM orders")
+def dense_recipe_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    return ranking.numbered(orders, "n", F.col("o_orderpriority"), F.col("o_orderkey")).select(F.format_string("R%05d", "n").alias("recipe_no"), "o_orderkey")
+
+
+@query("method_inference_argmax", """
+WITH s AS (SELECT doc_id, len(regexp_extract_all(lower(text), 'ing')) AS boil, 10 * (lower(left(text, 40)) LIKE '%the%')::INT + len(regexp_extract_all(lower(text), 'tion')) AS bake, 0.8 * len(regexp_extract_all(lower(text), 'sch')) AS steam FROM documents)
+SELECT doc_id, CASE WHEN greatest(boil, bake, steam) < 1.0 THEN 'other' WHEN boil >= bake AND boil >= steam THEN 'boil' WHEN bake >= steam THEN 'bake' ELSE 'steam' END AS method FROM s""")
+def method_inference_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    low, title = F.lower("text"), F.lower(F.substring("text", 1, 40))
+    rules = [("boil", F.regexp_count(low, F.lit("ing")).cast("double")), ("bake", 10.0 * title.contains("the").cast("int") + F.regexp_count(low, F.lit("tion"))), ("steam", 0.8 * F.regexp_count(low, F.lit("sch")))]
+    return table(spark, sf_dir, "documents").select("doc_id", X.scored_argmax(rules, least=1.0, default="other").alias("method"))
+
+
+@query("classify_case_cascade", """
+SELECT p_partkey, CASE WHEN p_name LIKE '%plate%' OR p_name LIKE '%box%' THEN 'container' WHEN regexp_matches(p_name, '^(red|blue)') THEN 'coloured' WHEN p_name LIKE '%gear%' THEN 'machine' ELSE 'other' END AS class FROM part""")
+def classify_case_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [("plate|box", "container"), ("^(red|blue)", "coloured"), ("gear", "machine")]
+    return table(spark, sf_dir, "part").select("p_partkey", X.first_match(F.col("p_name"), rules, "other").alias("class"))
+
+
+@query("copyright_filter", r"SELECT page_id, url FROM pages WHERE NOT (regexp_matches(html, '(?i)all rights reserved|copyright|©') OR regexp_matches(url, '(?i)\.(example|test)\.org'))")
+def copyright_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    marked = X.any_text_matches([F.col("html")], r"(?i)all rights reserved|copyright|©") | X.any_text_matches([F.col("url")], r"(?i)\.(example|test)\.org")
+    return pages.where(~marked).select("page_id", "url")
+
+
+@query("html_extract", r"""
+SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]+>', '', 'g')) AS title,
+  len(regexp_extract_all(html, '(?s)<li[^>]*>(.*?)</li>', 1))::BIGINT AS n_items,
+  array_to_string(list_transform(regexp_extract_all(html, '(?s)<li[^>]*>(.*?)</li>', 1), lambda x: trim(regexp_replace(x, '<[^>]+>', '', 'g'))), '|') AS items FROM pages""")
+def html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    strip = lambda c: F.trim(F.regexp_replace(c, "<[^>]+>", ""))
+    items = F.regexp_extract_all("html", F.lit(r"(?s)<li[^>]*>(.*?)</li>"), 1)
+    return table(spark, sf_dir, "pages").select("page_id", strip(F.regexp_extract("html", r"(?s)<h1[^>]*>(.*?)</h1>", 1)).alias("title"), F.size(items).cast("long").alias("n_items"), F.array_join(F.transform(items, strip), "|").alias("items"))
+
+
+@query("category_recode", "SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'rush' WHEN '5-LOW' THEN 'slow' WHEN '' THEN 'etc' ELSE coalesce(o_orderpriority, 'etc') END AS category FROM orders")
+def category_recode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", X.recoded(F.col("o_orderpriority"), {"1-URGENT": "rush", "5-LOW": "slow"}, "etc").alias("category"))
+
+
+@query("completeness_stats", """
+WITH o AS (SELECT o_orderkey, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey)
+SELECT count(*)::BIGINT AS total, count(*) FILTER (n > 0)::BIGINT AS with_lines, count(*) FILTER (n > 3)::BIGINT AS rich, round(100.0 * count(*) FILTER (n > 0) / count(*), 1)::DOUBLE AS with_lines_pct FROM o""")
+def completeness_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
+    got = table(spark, sf_dir, "orders").select("o_orderkey").join(lines, "o_orderkey", "left").agg(F.count("*").alias("total"), F.count_if(F.col("n") > 0).alias("with_lines"), F.count_if(F.col("n") > 3).alias("rich"))
+    return got.withColumn("with_lines_pct", F.round(100.0 * F.col("with_lines") / F.col("total"), 1))
+
+
+@query("method_meta_left_zero", """
+WITH meta(pos, code) AS (VALUES (0, 'F'), (1, 'O'), (2, 'P'), (3, 'X'))
+SELECT pos, code, count(o_orderkey)::BIGINT AS n FROM meta LEFT JOIN orders ON o_orderstatus = code GROUP BY pos, code""")
+def method_meta_left_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
+    meta = spark.createDataFrame([(0, "F"), (1, "O"), (2, "P"), (3, "X")], "pos int, code string")
+    counts = table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("code")).agg(F.count("*").alias("n"))
+    return meta.join(counts, "code", "left").select("pos", "code", F.coalesce("n", F.lit(0)).alias("n")).orderBy(F.desc("n"), "pos")
+
+
+@query("category_distribution", """
+WITH c AS (SELECT p_brand AS category, count(*)::BIGINT AS n FROM part GROUP BY p_brand), k AS (SELECT *, row_number() OVER (ORDER BY n DESC, category) AS k FROM c)
+SELECT CASE WHEN k <= 15 THEN category ELSE 'others' END AS category, sum(n)::BIGINT AS n FROM k GROUP BY 1""")
+def category_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("category")).agg(F.count("*").alias("n"))
+    head = counts.orderBy(F.desc("n"), "category").limit(15).select("category", F.lit(True).alias("kept"))
+    named = counts.join(F.broadcast(head), "category", "left").select(F.when(F.col("kept"), F.col("category")).otherwise("others").alias("category"), "n")
+    return named.groupBy("category").agg(F.sum("n").alias("n"))
