@@ -260,5 +260,6 @@ def _searcher(index, id_col: str):
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the documents that hold a benchmark item. Rows of null id stay unless they hold one."""
-    bad = contaminated(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("_bad")).distinct()
-    return docs.join(bad, F.col(f"`{id_col}`").eqNullSafe(F.col("_bad")), "left_anti")
+    mark = common.free_name(docs, "_bad")
+    bad = contaminated(docs, benchmark, id_col, text_col).select(F.col(id_col).alias(mark)).distinct()
+    return docs.join(bad, F.col(f"`{id_col}`").eqNullSafe(F.col(mark)), "left_anti")

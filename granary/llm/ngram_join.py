@@ -247,7 +247,8 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each class: that of the least id; where rows share an id, one of the rows that do."""
-    kept = link(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("_kept")).distinct()
-    rows = docs.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("_kept")), "left_semi")
-    again = docs.groupBy(id_col).count().where("count > 1").limit(1)
+    mark, n = common.free_name(docs, "_kept"), common.free_name(docs, "_n")
+    kept = link(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), "id", "text").where(F.col("id").eqNullSafe(F.col("class_id"))).select(F.col("id").alias(mark)).distinct()
+    rows = docs.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col(mark)), "left_semi")
+    again = docs.groupBy(F.col(f"`{id_col}`")).agg(F.count("*").alias(n)).where(F.col(n) > 1)
     return rows if again.isEmpty() else rows.dropDuplicates([id_col])

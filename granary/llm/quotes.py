@@ -109,23 +109,24 @@ def link(df: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "
     linked = turns(said).join(parents(said), ["conv", "turn"], "left")
     chosen = linked.select("conv", "turn", F.coalesce("parent", F.col("before") if linear else F.lit(None).cast("long")).alias("parent"), F.col("parent").isNotNull().alias("linked"))
     links = common.stored(chosen)
-    placed = links.join(ranked(roots(links)), ["conv", "turn"]).select(F.col("conv").alias("_conv"), F.col("turn").alias("_turn"), "parent", "linked", "root", "depth", "position")
+    name = lambda n: common.free_name(df, n)
+    c, t, p = name("_conv"), name("_turn"), name("_placed")
+    placed = links.join(ranked(roots(links)), ["conv", "turn"]).select(F.col("conv").alias(c), F.col("turn").alias(t), F.struct("parent", "linked", "root", "depth", "position").alias(p))
     lines = parsed(F.col(f"`{text}`"))
     levels = F.transform(lines, lambda x: x["level"])
     plain = F.regexp_replace(F.array_join(own_lines(lines), "\n"), r"^(?:[ \t]*\n)+|\s+$", "")
-    name = lambda n: common.free_name(df, n)
     rows = df.select(
         *[plain.alias(c) if c == text else F.col(f"`{c}`") for c in df.columns],
         F.size(F.filter(levels, lambda v: v > 0)).cast("long").alias(name("n_quoted")),
         F.array_max(levels).cast("long").alias(name("quote_depth")),
     )
-    met = rows.join(placed, (F.col(f"`{conv}`") == F.col("_conv")) & (F.col(f"`{turn}`").cast("long") == F.col("_turn")), "left")
-    alone = F.col("_conv").isNull()
+    met = rows.join(placed, (F.col(f"`{conv}`") == F.col(c)) & (F.col(f"`{turn}`").cast("long") == F.col(t)), "left")
+    alone = F.col(c).isNull()
     return met.select(
-        *[F.col(f"`{c}`") for c in rows.columns],
-        F.col("parent").alias(name("parent_turn")),
-        F.coalesce("linked", F.lit(False)).alias(name("linked")),
-        F.when(alone, F.col(f"`{turn}`").cast("long")).otherwise(F.col("root")).alias(name("root_turn")),
-        F.coalesce("depth", F.lit(0)).cast("long").alias(name("depth")),
-        F.coalesce("position", F.lit(1)).cast("long").alias(name("position")),
+        *[F.col(f"`{x}`") for x in rows.columns],
+        F.col(f"{p}.parent").alias(name("parent_turn")),
+        F.coalesce(f"{p}.linked", F.lit(False)).alias(name("linked")),
+        F.when(alone, F.col(f"`{turn}`").cast("long")).otherwise(F.col(f"{p}.root")).alias(name("root_turn")),
+        F.coalesce(f"{p}.depth", F.lit(0)).cast("long").alias(name("depth")),
+        F.coalesce(f"{p}.position", F.lit(1)).cast("long").alias(name("position")),
     )

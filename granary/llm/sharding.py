@@ -24,13 +24,14 @@ def copies_told_apart(df: DataFrame, id_col: str, salt: str) -> DataFrame:
     shuffle, and dealt out again; so even an id that holds a third of all rows scatters evenly, and the same table
     gives the same salts on any cluster.
     """
-    repeated = df.groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias("_again"))
+    again, n = common.free_name(df, "_again"), common.free_name(df, "_n")
+    repeated = df.groupBy(F.col(f"`{id_col}`").alias(again)).agg(F.count("*").alias(n)).where(F.col(n) > 1).select(again)
     if repeated.isEmpty():
         return df.withColumn(salt, F.lit(0))
-    match = F.col(f"`{id_col}`").eqNullSafe(F.col("_again"))
+    match = F.col(f"`{id_col}`").eqNullSafe(F.col(again))
     once = df.join(repeated, match, "left_anti").withColumn(salt, F.lit(0))
-    more = df.join(repeated, match, "left_semi").groupBy(*[F.col(f"`{c}`") for c in df.columns]).count()
-    return once.unionByName(more.select(*[F.col(f"`{c}`") for c in df.columns], F.explode(F.sequence(F.lit(0), (F.col("count") - 1).cast("int"))).alias(salt)))
+    more = df.join(repeated, match, "left_semi").groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count("*").alias(n))
+    return once.unionByName(more.select(*[F.col(f"`{c}`") for c in df.columns], F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int"))).alias(salt)))
 
 
 def fisher_yates(n: int, seed: int) -> np.ndarray:
