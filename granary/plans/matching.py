@@ -234,7 +234,7 @@ m AS (SELECT *, CASE WHEN contains(product, 'gear') THEN NULL ELSE split_part(pr
 k AS (
   SELECT 'alias' AS kind, raw AS key, product AS other, pos, file_name, confidence FROM m WHERE raw <> product
   UNION ALL SELECT CASE WHEN contains(product, 'bolt') THEN 'false_positive' WHEN ingr IS NULL THEN 'unmapped' ELSE 'weak' END, product, CASE WHEN NOT contains(product, 'bolt') THEN ingr END, pos, file_name, confidence FROM m),
-f AS (SELECT kind, key, other, file_name, min(pos) AS first_at, row_number() OVER (PARTITION BY kind, key, other ORDER BY min(pos)) AS k FROM k GROUP BY ALL),
+f0 AS (SELECT kind, key, other, file_name, min(pos) AS first_at FROM k GROUP BY kind, key, other, file_name), f AS (SELECT *, row_number() OVER (PARTITION BY kind, key, other ORDER BY first_at) AS k FROM f0),
 s AS (SELECT kind, key, other, string_agg(file_name, ',' ORDER BY first_at) AS files FROM f WHERE k <= 5 GROUP BY ALL),
 c AS (SELECT kind, key, other, count(*)::BIGINT AS count, round(avg(confidence), 4) AS avg_confidence FROM k GROUP BY ALL)
 SELECT c.kind, c.key, c.other, c.count, c.avg_confidence, s.files FROM c JOIN s ON c.kind = s.kind AND c.key = s.key AND c.other IS NOT DISTINCT FROM s.other""")
