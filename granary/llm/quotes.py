@@ -73,15 +73,20 @@ def turns(said: DataFrame) -> DataFrame:
 
 
 def roots(links: DataFrame) -> DataFrame:
-    """conv, turn, root and depth of every turn, from its parent (null at a root), by doubling the step until none is left."""
-    now = common.stored(links.select("conv", "turn", F.coalesce("parent", "turn").alias("up"), F.col("parent").isNotNull().cast("long").alias("depth")))
-    while True:
-        above = now.select(F.col("conv").alias("c"), F.col("turn").alias("up"), F.col("up").alias("further"), F.col("depth").alias("more"))
-        joined = now.join(above, (now.conv == above.c) & (now.up == above.up)).select("conv", "turn", F.col("further").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), F.col("more"))
+    """conv, turn, root and depth of every turn, from its parent (null at a root), by doubling the step until none is left.
+
+    A round joins only the turns that haven't reached their root; those that have are set aside.
+    """
+    found = links.select("conv", "turn", F.coalesce("parent", "turn").alias("up"), F.col("parent").isNotNull().cast("long").alias("depth"))
+    moving = common.stored(found.where("depth > 0"))
+    known = found.where("depth = 0")
+    while not moving.isEmpty():
+        above = known.unionByName(moving).select(F.col("conv").alias("c"), F.col("turn").alias("t"), F.col("up").alias("further"), F.col("depth").alias("more"))
+        joined = moving.join(above, (moving.conv == above.c) & (moving.up == above.t)).select("conv", "turn", F.col("further").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), "more")
         after = common.stored(joined)
-        if after.where("more > 0").isEmpty():
-            return after.select("conv", "turn", F.col("up").alias("root"), "depth")
-        now = after.drop("more")
+        known = known.unionByName(after.where("more = 0").drop("more"))
+        moving = after.where("more > 0").drop("more")
+    return known.select("conv", "turn", F.col("up").alias("root"), "depth")
 
 
 def ranked(tree: DataFrame) -> DataFrame:
@@ -112,10 +117,12 @@ def link(df: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "
     name = lambda n: common.free_name(df, n)
     c, t, p = name("_conv"), name("_turn"), name("_placed")
     placed = links.join(ranked(roots(links)), ["conv", "turn"]).select(F.col("conv").alias(c), F.col("turn").alias(t), F.struct("parent", "linked", "root", "depth", "position").alias(p))
-    lines = parsed(F.col(f"`{text}`"))
+    # The lines are a column of their own, so that they are parsed once and not for each line.
+    held = name("_lines")
+    given, lines = df.withColumn(held, parsed(F.col(f"`{text}`"))), F.col(held)
     levels = F.transform(lines, lambda x: x["level"])
     plain = F.regexp_replace(F.array_join(own_lines(lines), "\n"), r"^(?:[ \t]*\n)+|\s+$", "")
-    rows = df.select(
+    rows = given.select(
         *[plain.alias(c) if c == text else F.col(f"`{c}`") for c in df.columns],
         F.size(F.filter(levels, lambda v: v > 0)).cast("long").alias(name("n_quoted")),
         F.array_max(levels).cast("long").alias(name("quote_depth")),
