@@ -52,7 +52,8 @@ def _nearest(own: list[tuple[int, str]], k: int, least: float):
             got.append([{"pos": p, "score": -s} for s, p in nsmallest(k, found)])
         return pa.array(got, pa.list_(pa.struct([("pos", pa.int64()), ("score", pa.float64())])))
 
-    return matched
+    # Else Spark infers a filter from a later explode and evaluates it on rows that are not distinct yet.
+    return matched.asNondeterministic()
 
 
 def ranked(names: DataFrame, dimension: DataFrame, k: int, least: float) -> DataFrame:
@@ -93,7 +94,7 @@ def tiers(names: DataFrame, dimension: DataFrame, threshold: float) -> DataFrame
             got.append({"pos": best[1], "phase": 2, "score": -best[0]} if -best[0] >= threshold else None)
         return pa.array(got, pa.struct([("pos", pa.int64()), ("phase", pa.int32()), ("score", pa.float64())]))
 
-    found = exact.where("exact is null").select("name", rest("name").alias("m")).where("m is not null").select("name", "m.*")
+    found = exact.where("exact is null").select("name", rest.asNondeterministic()("name").alias("m")).where("m is not null").select("name", "m.*")
     return exact.where("exact is not null").select("name", F.col("exact").alias("pos"), F.lit(0).alias("phase"), F.lit(1.0).alias("score")).unionByName(found)
 
 
