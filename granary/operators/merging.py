@@ -71,7 +71,7 @@ def dense_steps(texts: Column) -> Column:
 
 def circled_steps(text: Column) -> Column:
     """Steps that circled digits set off; a text without any is one step."""
-    parts = F.filter(F.transform(F.split(text, "[①-⑮]"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(text, "[①-⑮]"), lambda x: F.trim(x)), lambda x: x != "")
     return F.transform(parts, lambda x, i: F.struct((i + 1).alias("step"), x.alias("description")))
 
 

@@ -84,7 +84,7 @@ def expiry(df: DataFrame, now: Column, name: str = "item_name", purchased: str =
     A purchase date that doesn't parse is that of `now`. On the day of expiry d_day is -1 already, which counts as expired.
     """
     days = shelf_days(F.col(name), F.col(storage), F.col(category))
-    bought = F.coalesce(F.try_to_date(F.col(purchased), F.lit("yyyy-MM-dd")), now.cast("date"))
+    bought = F.coalesce(F.try_to_date(F.col(purchased), "yyyy-MM-dd"), now.cast("date"))
     got = df.withColumn("shelf_days", days).withColumn("expiry_date", F.date_add(bought, F.col("shelf_days")))
     left = F.floor((F.unix_timestamp(F.col("expiry_date").cast("timestamp")) - F.unix_timestamp(now.cast("timestamp"))) / 86400).cast("int")
     return got.withColumn("d_day", left).withColumn("risk", risk_by_day(F.col("d_day")))
