@@ -229,7 +229,7 @@ def alias_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("mining_candidates", """
-WITH i AS (SELECT p_partkey AS pos, p_brand AS file_name, p_name AS raw, CASE WHEN p_partkey % 4 = 0 THEN replace(p_name, 'red', 'ruby') ELSE p_name END AS product, p_retailprice / 2000 AS confidence FROM part),
+WITH i AS (SELECT p_partkey AS pos, p_brand AS file_name, p_name AS raw, CASE WHEN p_partkey % 4 = 0 THEN replace(p_name, 'red', 'ruby') ELSE p_name END AS product, p_retailprice / 1999.0::DOUBLE AS confidence FROM part),
 m AS (SELECT *, CASE WHEN contains(product, 'gear') THEN NULL ELSE split_part(product, ' ', 2) END AS ingr, length(product) / 20.0 AS sim FROM i),
 k AS (
   SELECT 'alias' AS kind, raw AS key, product AS other, pos, file_name, confidence FROM m WHERE raw <> product
@@ -241,7 +241,7 @@ SELECT c.kind, c.key, c.other, c.count, c.avg_confidence, s.files FROM c JOIN s
 def mining_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     normal = F.when(F.col("p_partkey") % 4 == 0, F.replace("p_name", F.lit("red"), F.lit("ruby"))).otherwise(F.col("p_name"))
-    items = part.select(F.col("p_partkey").alias("pos"), F.col("p_brand").alias("file_name"), F.col("p_name").alias("raw_name"), normal.alias("normalized_name"), (F.col("p_retailprice") / 2000).alias("confidence"), F.lit("").alias("parse_pattern"))
+    items = part.select(F.col("p_partkey").alias("pos"), F.col("p_brand").alias("file_name"), F.col("p_name").alias("raw_name"), normal.alias("normalized_name"), (F.col("p_retailprice") / 1999.0).alias("confidence"), F.lit("").alias("parse_pattern"))
     matches = items.select(F.col("normalized_name").alias("product_name")).distinct().where(~F.contains("product_name", F.lit("gear"))).select("product_name", F.split_part("product_name", F.lit(" "), F.lit(2)).alias("ingredientName"), F.lit("fuzzy_similarity").alias("mapping_source"), (F.length("product_name") / 20).alias("similarity"))
     got = mining_groups(items, matches, F.contains(F.col("product"), F.lit("bolt")))
     return got.select("kind", "key", "other", "count", "avg_confidence", F.array_join("sample_files", ",").alias("files"))
