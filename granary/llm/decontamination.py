@@ -220,21 +220,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     nothing and are held by nothing; an item of fewer than five words is one shingle. Rows of one id give rows each.
     Items are looked for ITEMS_A_PASS at a time, which bounds the index that is sent out; documents are never shuffled.
     """
-    spark = docs.sparkSession
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("item_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("similarity", T.DoubleType())])
+    rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    out = None
+    for index in indexes(benchmark, item_col, item_text, threshold):
+        got = rows.mapInArrow(_searcher(index, id_col), schema)
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+def indexes(benchmark: DataFrame, item_col: str, item_text: str, threshold: float) -> Iterator:
+    """The index of every ITEMS_A_PASS items or so, sent to the executors; weights count over the whole benchmark."""
+    spark = benchmark.sparkSession
     common.ship(spark)
     weights, rare = shingle_weights(benchmark, item_col, item_text)
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("item_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("similarity", T.DoubleType())])
-    n = benchmark.count()
-    parts = max(1, math.ceil(n / ITEMS_A_PASS))
+    parts = max(1, math.ceil(benchmark.count() / ITEMS_A_PASS))
     place = F.pmod(F.xxhash64(item_col, item_text), F.lit(parts))
-    out = None
     for part in range(parts):
         items = [(r[0], r[1]) for r in benchmark.where(place == part).select(F.col(item_col).cast("long"), item_text).collect()]
         mine = shingle_table(spark, items)
-        index = spark.sparkContext.broadcast(Index(items, {g % 2**64: w for g, w in weights.join(mine, "gram", "left_semi").collect()}, rare, threshold))
-        got = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(_searcher(index, id_col), schema)
-        out = got if out is None else out.unionByName(got)
-    return out
+        yield spark.sparkContext.broadcast(Index(items, {g % 2**64: w for g, w in weights.join(mine, "gram", "left_semi").collect()}, rare, threshold))
 
 
 def shingle_table(spark, items: list[tuple[int, str]]) -> DataFrame:
@@ -258,8 +263,23 @@ def _searcher(index, id_col: str):
     return work
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the documents that hold a benchmark item. Rows of null id stay unless they hold one."""
-    mark = common.free_name(docs, "_bad")
-    bad = contaminated(docs, benchmark, id_col, text_col).select(F.col(id_col).alias(mark)).distinct()
-    return docs.join(bad, F.col(f"`{id_col}`").eqNullSafe(F.col(mark)), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """docs without the rows that hold a benchmark item, all columns kept. Each row is judged by itself; nothing is shuffled."""
+    at = docs.columns.index(text_col)
+    out = docs
+    for index in indexes(benchmark, item_col, item_text, threshold):
+        out = out.mapInArrow(_keeper(index, at), docs.schema)
+    return out
+
+
+def _keeper(index, at: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = index.value
+        for b in batches:
+            data, starts = common.utf8(b.column(at))
+            keep = np.ones(b.num_rows, bool)
+            for i, j in common.slices(starts, 1 << 18):
+                keep[[i + r for r, *_ in found.matches(data[starts[i] : starts[j]], starts[i : j + 1] - starts[i])]] = False
+            yield b.filter(pa.array(keep))
+
+    return work

@@ -169,3 +169,10 @@ def test_unquoted_messages_follow_one_another(spark, monkeypatch):
     got = sorted((r["conv_id"], r["turn"], r["parent_turn"], r["root_turn"], r["depth"], r["position"]) for r in quotes.link(df).where("parent_turn is not null").collect())
     assert got == [(1, t, t - 3, 0, k + 1, k + 2) for k, t in enumerate(range(3, 40, 3))]
     assert quotes.link(df.limit(0)).count() == 0
+
+
+def test_clean_drops_what_is_found(spark, bench):
+    table, items = bench
+    rows = [(1, items[8][1], "a"), (2, "before " + items[9][1] + " after", "b"), (3, "nothing to see here at all", "c"), (None, None, "d"), (1, "other text", "e")]
+    got = decontamination.clean(spark.createDataFrame(rows, "doc_id long, text string, item_id string"), table.where("item_id > 3"))
+    assert got.columns == ["doc_id", "text", "item_id"] and {r["item_id"] for r in got.collect()} == {"c", "d", "e"}
