@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 
-#: Text bytes that one range of documents should hold; a task works on one range at a time.
-RANGE_BYTES = 4 << 20
+#: Text bytes that one range of documents should hold; a task works on one range at a time. Ranges grow with the table, up
+#: to MOST_BYTES, so that their cuts, which the driver holds, stay few.
+RANGE_BYTES, MOST_BYTES, MOST_RANGES = 4 << 20, 64 << 20, 20_000
+#: Text bytes for each bucket of hashes; a task sorts the hashes of one bucket at a time, about as many bytes.
+HASHED_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,8 +81,11 @@ def range_of(bounds: list[int], id_col: Column) -> Column:
     return place(F.coalesce(id_col.cast("long"), F.lit(-(2**63))))
 
 
-def range_count(df: DataFrame, text: str, target: int = RANGE_BYTES) -> int:
-    return max(partitions(df.sparkSession), math.ceil(text_bytes(df, text) / target))
+def range_plan(df: DataFrame, text: str) -> tuple[int, int]:
+    """How many ranges of ids, and how many buckets of hashes, a table is dealt into: by its bytes, one for each shuffle partition at least."""
+    total, least = text_bytes(df, text), partitions(df.sparkSession)
+    size = min(MOST_BYTES, max(RANGE_BYTES, total // MOST_RANGES))
+    return max(least, math.ceil(total / size)), max(least, math.ceil(total / HASHED_BYTES))
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -118,7 +118,7 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     common.ship(spark)
-    n = common.range_count(docs, text_col)
+    n, _ = common.range_plan(docs, text_col)
     kind = docs.schema[id_col].dataType
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ranges = neighbour_ranges(narrow, "id", n, common.id_bounds(narrow, "id", n))

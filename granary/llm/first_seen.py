@@ -52,7 +52,7 @@ def mark_repeats(
     document, or in a row of the same id that sorts before it by its text. A null id counts as the smallest.
     """
     common.ship(docs.sparkSession)
-    n = common.range_count(docs, text_col)
+    n, buckets = common.range_plan(docs, text_col)
     bounds = common.id_bounds(docs, id_col, n)
     rows = docs.select(
         common.range_of(bounds, F.col(id_col)).alias("_range"),
@@ -65,7 +65,7 @@ def mark_repeats(
         for number, t in common.groups(batches, "_range"):
             h, _ = find_all(t, find)
             uniq = np.unique(h)
-            cuts = _pieces(uniq, n)
+            cuts = _pieces(uniq, buckets)
             full = np.flatnonzero(cuts[1:] > cuts[:-1])
             for part in np.array_split(full, max(1, len(uniq) // 500_000)):
                 yield pa.RecordBatch.from_arrays(
@@ -95,7 +95,7 @@ def mark_repeats(
         h, row = find_all(t, find)
         uniq, first, back = np.unique(h, return_index=True, return_inverse=True)
         before = np.zeros(len(uniq), bool)
-        cuts = _pieces(uniq, n)
+        cuts = _pieces(uniq, buckets)
         for b, bits in zip(right.column("bucket").to_pylist(), right.column("bits").to_pylist()):
             s, e = cuts[b], cuts[b + 1]
             before[s:e] = np.unpackbits(np.frombuffer(bits, np.uint8), count=int(e - s)).astype(bool)
