@@ -7,8 +7,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common, words
 from .components import components
@@ -22,6 +23,8 @@ TOLERANCE = 1e-6
 STEP = 25
 #: Distinct sets that are compared with one another in one task; larger candidate groups are split into pairs of blocks.
 BLOCK = 512
+#: Stands for a null id.
+LEAST_ID = -(2**63)
 U = np.uint64
 _rng = np.random.default_rng(5)
 _XOR = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
@@ -112,6 +115,20 @@ def _features(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(work, "id long, node long, bands array<long>")
 
 
+def _keyed(df: DataFrame, text_col: str, name: str) -> DataFrame:
+    """df with the set key of each row's text in a last column of that name."""
+    at = df.columns.index(text_col)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, starts = common.utf8(b.column(at))
+            for i, j in common.slices(starts, 1 << 20):
+                keys = [set_key(s) for s in shingles(data[starts[i] : starts[j]], starts[i : j + 1] - starts[i])]
+                yield pa.RecordBatch.from_arrays([*b.slice(i, j - i).columns, pa.array(keys, pa.int64())], names=[*b.schema.names, name])
+
+    return df.mapInArrow(work, T.StructType([*df.schema.fields, T.StructField(name, T.LongType())]))
+
+
 def survivors(a: np.ndarray, b: np.ndarray, same: bool, threshold: float, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows of a and b that the Bayesian bound leaves; of one block, each pair once."""
     count = (a[:, None, 0] == b[None, :, 0]).astype(np.int16)
@@ -174,9 +191,8 @@ def _verified(rows: DataFrame, threshold: float, tolerance: float) -> DataFrame:
             sets: list[np.ndarray] = []
             for i, j in common.slices(starts, 1 << 20):
                 sets += shingles(data[starts[i] : starts[j]], starts[i : j + 1] - starts[i])
-            # Where two documents have one id, the text may be the other one's.
-            own = np.flatnonzero(np.array([set_key(s) for s in sets], np.int64) == node)
-            own = own[np.unique(node[own], return_index=True)[1]]
+            # Rows of one id and one set are one node.
+            own = np.unique(node, return_index=True)[1]
             if len(own) < 2:
                 continue
             sig = signatures(sets)
@@ -217,10 +233,19 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     group; a group's pairs are pruned by the Bayesian bound and verified on the whole texts. A group of over BLOCK
     nodes is dealt out as pairs of blocks, and a task returns one row for each node at most, so no pair is ever a row.
     """
+    features, named = _classes(docs, id_col, text_col, threshold, tolerance)
+    first = named.groupBy("component").agg(F.min("id").alias("class_id"))
+    final = named.join(first, "component").select("node", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"))
+    shown = lambda c: F.nullif(F.col(c), F.lit(LEAST_ID))
+    got = features.select("id", "node").join(final, "node")
+    return got.select(shown("id").cast(docs.schema[id_col].dataType).alias(id_col), shown("class_id").alias("class_id"), "n_links")
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, tolerance: float) -> tuple[DataFrame, DataFrame]:
+    """Each row's id and node (set key), and each node's least id, copies, class (component, a node of it) and links. A null id is LEAST_ID."""
     spark = docs.sparkSession
     common.ship(spark)
-    least = F.lit(-(2**63))
-    narrow = docs.select(F.coalesce(F.col(id_col).cast("long"), least).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    narrow = docs.select(_long_id(id_col).alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     features = common.stored(_features(narrow))
     nodes = common.stored(features.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("bands").alias("bands")))
     banded = nodes.select("node", F.explode("bands").alias("band"))
@@ -230,7 +255,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     members = grouped.join(sizes, "component").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
     chosen = members.join(nodes.drop("bands"), "node")
-    dealt = chosen.join(narrow, "id").select("node", "copies", "component", "block", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = chosen.join(_keyed(narrow, "text", "node"), ["id", "node"]).select("node", "copies", "component", "block", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     low, high = F.least("block", "other"), F.greatest("block", "other")
     spots = dealt.select("node", "copies", "block", low.alias("low"), high.alias("high"), "text", F.xxhash64("component", low, high).alias("spot"))
     n = max(common.partitions(spark), 1)
@@ -238,17 +263,29 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     classes = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     named = nodes.select("node", "id", "copies").join(classes, "node", "left").join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    first = named.groupBy("component").agg(F.min("id").alias("class_id"))
-    final = named.join(first, "component").select("node", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"))
-    shown = lambda c: F.nullif(F.col(c), least)
-    got = features.select("id", "node").join(final, "node")
-    return got.select(shown("id").cast(docs.schema[id_col].dataType).alias(id_col), shown("class_id").alias("class_id"), "n_links")
+    return features, named
+
+
+def _long_id(id_col: str) -> Column:
+    return F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LEAST_ID))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each class: that of the least id; where rows share an id, one of the rows that do."""
-    mark, n = common.free_name(docs, "_kept"), common.free_name(docs, "_n")
-    kept = link(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), "id", "text").where(F.col("id").eqNullSafe(F.col("class_id"))).select(F.col("id").alias(mark)).distinct()
-    rows = docs.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col(mark)), "left_semi")
-    again = docs.groupBy(F.col(f"`{id_col}`")).agg(F.count("*").alias(n)).where(F.col(n) > 1)
-    return rows if again.isEmpty() else rows.dropDuplicates([id_col])
+    """docs with one row of each class of near duplicates, that of the least id; all columns kept.
+
+    Classes are of texts, so rows that share an id, or have none, and whose texts are unlike all stay. Where several
+    texts of a class have its least id, that of the least set key stays; of rows that share that too, the least by a
+    hash of the row. A null id is the least of all.
+    """
+    key, node, again, row = (common.free_name(docs, n) for n in ("_id", "_node", "_again", "_row"))
+    features, named = _classes(docs, id_col, text_col, THRESHOLD, TOLERANCE)
+    chosen = named.groupBy("component").agg(F.min(F.struct("id", "node")).alias("k")).select("k.id", "k.node")
+    counts = features.groupBy("id", "node").agg(F.count("*").alias("n"))
+    kept = common.stored(chosen.join(counts, ["id", "node"]).select(F.col("id").alias(key), F.col("node").alias(node), (F.col("n") > 1).alias(again)))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    rows = _keyed(docs, text_col, node).withColumn(key, _long_id(id_col)).join(kept, [key, node])
+    if kept.where(F.col(again)).isEmpty():
+        return rows.select(*own)
+    hashed = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and f.dataType.typeName() != "variant"])
+    least = rows.where(F.col(again)).groupBy(key, node).agg(F.min_by(F.struct(*own), hashed).alias(row)).select(f"{row}.*")
+    return rows.where(~F.col(again)).select(*own).unionByName(least)

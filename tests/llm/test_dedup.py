@@ -1,11 +1,14 @@
 """Substring, line and near-duplicate operators against brute force."""
 
+import random
 import re
 from collections import Counter
 
 from granary.llm import line_dedup, ngram_join, substring_dedup
 from granary.llm.components import components
 
+from .conftest import prose
+
 LEAST = -(2**63)
 
 
@@ -89,6 +92,18 @@ def test_one_of_each_keeps_one_row(docs):
     assert 3 in ids and 100 not in ids and not set(range(200, 212)) & set(ids)
 
 
+def test_one_of_each_keeps_unlike_texts_of_one_id(spark):
+    rng = random.Random(7)
+    a, b, *other = [prose(rng, 60) for _ in range(12)]
+    rows = [(7, a), (7, b), (9, b), (9, b), *[(None, t) for t in other[:6]], (None, other[0]), *[(5, t) for t in other[6:]], (5, other[6]), (5, other[6])]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, n int")
+    for n in (1, 7):
+        got = ngram_join.one_of_each(df.repartition(n)).collect()
+        assert Counter((r["doc_id"], r["text"]) for r in got) == Counter([(7, a), (7, b), *[(None, t) for t in other[:6]], *[(5, t) for t in other[6:]]])
+        assert n == 1 or first == {r["n"] for r in got}
+        first = {r["n"] for r in got}
+
+
 def test_bound_never_drops_likely_pairs():
     least = [ngram_join.least_matches(n, 0.8, 1e-6) for n in (25, 50, 125)]
     assert least == sorted(least) and 0 < least[0] < 20 and least[2] < 100
