@@ -1,4 +1,4 @@
-"""Benchmark decontamination: SimHash of item-sized windows, found by multi-index Hamming blocks, verified by weighted shingles."""
+"""Benchmark decontamination: SimHash of item-sized windows, found by multi-index Hamming blocks, and rare shingles of items; verified by weighted shingles."""
 
 from __future__ import annotations
 
@@ -82,12 +82,14 @@ class Index:
         self.threshold, self.rare = threshold, rare
         self.ids = [i for i, _ in items]
         self.length: list[int] = []
+        self.hashes: list[np.ndarray] = []
         self.grams: list[tuple[np.ndarray, np.ndarray]] = []
         found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
         for k, (_, text) in enumerate(items):
             data, starts = common.utf8(pa.array([text or ""]))
             h, _ = hashed(data, starts)
             self.length.append(len(h))
+            self.hashes.append(h)
             g = grams(h)
             self.grams.append((g, np.array([weights.get(int(x), rare) for x in g])))
             if not len(h):
@@ -110,6 +112,46 @@ class Index:
                 flat = np.array([n for v in sorted(lists) for n in lists[v]], np.int32)
                 tables.append((count, np.cumsum(count) - count, flat))
             self.sizes[key] = (f, item, offset, tables)
+        self._keep_rare()
+        del self.hashes
+
+    def _keep_rare(self) -> None:
+        """The rarest shingles of each item of SHINGLE words or more, where it has them, and a table of their last bits.
+
+        Their weights sum to more than a passage can lack that reaches the threshold, so it has one of them.
+        """
+        kept = [np.zeros((0, 3), np.uint64)]
+        for k, h in enumerate(self.hashes):
+            if len(h) < SHINGLE:
+                continue
+            g, w = self.grams[k]
+            order = np.lexsort((g, -w))
+            total = np.cumsum(w[order])
+            n = int(np.searchsorted(total, (1 - self.threshold) * total[-1] * (1 + 1e-9) + 1e-9, side="right")) + 1
+            every, at = words.windows(h, np.zeros(len(h), np.int64), SHINGLE)
+            every = every ^ U(SHINGLE)
+            own = np.isin(every, g[order[:n]])
+            kept.append(np.stack([every[own], np.full(own.sum(), k, np.uint64), at[own].astype(np.uint64)], 1))
+        rare = np.concatenate(kept)
+        rare = rare[np.argsort(rare[:, 0], kind="stable")]
+        self.rare_grams, first, self.rare_count = np.unique(rare[:, 0], return_index=True, return_counts=True)
+        self.rare_first, self.rare_item, self.rare_at = first, rare[:, 1].astype(np.int64), rare[:, 2].astype(np.int64)
+        self.rare_bits = np.zeros(1 << 20, bool)
+        self.rare_bits[self.rare_grams & U(0xFFFFF)] = True
+
+    def sharing(self, h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(item, where it would begin, row) wherever a row has one of the item's rare shingles, wherever in the row."""
+        got, at = words.windows(h, row, SHINGLE)
+        got = got ^ U(SHINGLE)
+        maybe = np.flatnonzero(self.rare_bits[got & U(0xFFFFF)])
+        place = np.searchsorted(self.rare_grams, got[maybe])
+        hit = place < len(self.rare_grams)
+        hit[hit] = self.rare_grams[place[hit]] == got[maybe[hit]]
+        place, at = place[hit], at[maybe[hit]]
+        c = self.rare_count[place]
+        spread = np.repeat(np.arange(len(place)), c)
+        which = np.arange(len(spread)) - np.repeat(np.cumsum(c) - c, c) + self.rare_first[place][spread]
+        return self.rare_item[which], at[spread] - self.rare_at[which], row[at[spread]]
 
     def candidates(self, h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(item, first word of its window) of every window within RADIUS of one of the item's fingerprints."""
@@ -147,7 +189,7 @@ class Index:
         # What the window has besides is weighted by the benchmark as well.
         extra = own[~np.isin(own, g, assume_unique=True)]
         union = w.sum() + sum(self.weights_of(extra))
-        return float(shared / union) if union else 0.0
+        return round(float(shared / union), 12) if union else 0.0  # sums of floats: 0.8 must not fall short of itself
 
     def trimmed(self, item: int, h: np.ndarray, lo: int, hi: int) -> tuple[int, int]:
         """The part of a window from the first shingle that the item has to the last one; passages cut short end there."""
@@ -170,17 +212,17 @@ class Index:
         h, row = hashed(data, starts)
         items, begins = self.candidates(h, row)
         row_begin = np.searchsorted(row, np.arange(len(starts)))
+        tried = {(k, s, r) for k, s in zip(items.tolist(), begins.tolist()) for r in (int(row[max(s, 0)]), int(row[min(max(s + 2 * STRIDE, 0), len(row) - 1)]))}
+        tried.update(zip(*(x.tolist() for x in self.sharing(h, row))))
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
-        for k, s in zip(items.tolist(), begins.tolist()):
-            m = self.length[k]
+        for k, s, r in sorted(tried):
             # The fingerprint's window began some words later; words beyond the document's edge are left out.
-            for r in {int(row[max(s, 0)]), int(row[min(s + 2 * STRIDE, len(row) - 1)])}:
-                lo, hi = max(s, int(row_begin[r])), min(s + m, int(row_begin[r + 1]))
-                lo, hi = self.trimmed(k, h, lo, hi)
-                if hi > lo:
-                    sim = self.similarity(k, h[lo:hi])
-                    if sim >= self.threshold and (sim, -(lo - row_begin[r])) > best.get((r, k), (-1.0, 0, 0))[:2]:
-                        best[r, k] = (sim, -int(lo - row_begin[r]), hi - lo)
+            lo, hi = max(s, int(row_begin[r])), min(s + self.length[k], int(row_begin[r + 1]))
+            lo, hi = self.trimmed(k, h, lo, max(lo, hi))
+            if hi > lo:
+                sim = self.similarity(k, h[lo:hi])
+                if sim >= self.threshold and (sim, -(lo - row_begin[r])) > best.get((r, k), (-1.0, 0, 0))[:2]:
+                    best[r, k] = (sim, -int(lo - row_begin[r]), hi - lo)
         for (r, k), (sim, s, n) in sorted(best.items()):
             yield r, k, -s, n, sim
 
@@ -215,8 +257,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """A row for each document and benchmark item it holds: doc id, item id, start and n_words of the best window, similarity.
 
     Windows of an item's size (in steps of an eighth) over every whole text are fingerprinted by SimHash of their word
-    pairs. Every window within RADIUS bits of an item's is found, then the item-sized window there, from its first shingle
-    of the item to its last, is verified by the weighted Jaccard similarity of five-word shingles. Case of ASCII letters doesn't count. Null or empty texts hold
+    pairs. Every window within RADIUS bits of an item's is found, and so is every place that has one of an item's rarest
+    shingles, of which a passage that reaches the threshold has one wherever it begins or is cut. Then the item-sized window
+    there, from its first shingle of the item to its last, is verified by the weighted Jaccard similarity of five-word
+    shingles. Case of ASCII letters doesn't count. Null or empty texts hold
     nothing and are held by nothing; an item of fewer than five words is one shingle. Rows of one id give rows each.
     Items are looked for ITEMS_A_PASS at a time, which bounds the index that is sent out; documents are never shuffled.
     """

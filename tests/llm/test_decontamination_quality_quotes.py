@@ -48,6 +48,24 @@ def test_passages_are_found_wherever_they_begin(spark, bench):
     assert all(r["similarity"] >= 0.8 for r in got)
 
 
+def test_cut_items_standing_alone_are_found(spark):
+    rng = random.Random(12)
+    items = {m: [f"x{m}_{i}" for i in range(m)] for m in (11, 20, 44, 48, 52, 56, 100, 400)}
+    table = spark.createDataFrame([(m, " ".join(w)) for m, w in items.items()], "item_id long, text string")
+    rows, expected = [], set()
+    for m, w in items.items():
+        for less in range(1, m // 5 + 1):
+            for part in (w[less:], w[: m - less], w[less // 2 : m - (less - less // 2)]):
+                k = 2 * len(rows)
+                rows += [(k, " ".join(part)), (k + 1, prose(rng, rng.randrange(1, 9)))]  # documents between shift the alignment
+                if (len(part) - 4) / (m - 4) >= 0.8:
+                    expected.add((k, m))
+                    rows.append((k + 10**6, prose(rng, rng.randrange(1, 30)) + " " + " ".join(part) + " " + prose(rng, 5)))
+                    expected.add((k + 10**6, m))
+    found = decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), table).collect()
+    assert expected - {(r["doc_id"], r["item_id"]) for r in found} == set() and len(expected) > 300
+
+
 def test_many_items_take_several_passes(spark, bench, monkeypatch):
     table, items = bench
     df = spark.createDataFrame([(i, "before it " + t) for i, t in items if t], "doc_id long, text string")
