@@ -1,9 +1,14 @@
-"""Chat formatting by quotation linking: quoted passages are hashed and joined to the messages they come from."""
+"""Chat formatting by quotation linking: quoted passages are hashed and met with the earlier messages of their conversation."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -46,19 +51,74 @@ def messages(df: DataFrame, conv: str, turn: str, text: str) -> DataFrame:
 def parents(said: DataFrame) -> DataFrame:
     """conv, turn, parent: the earlier message that a message quotes most, at its least nested level that links at all.
 
-    A key belongs to the first message of the conversation that has it as its own text, so an often-repeated line is
-    one row and the join stays linear. Ties go to the later message.
+    Every earlier message that shares a key counts, by the total length of the keys it shares; ties go to the later
+    one. Only hashes of keys are shuffled, by conversation, and a task holds one conversation at a time; no pair of
+    messages is ever a row.
     """
-    hashed = lambda c: F.xxhash64(c)
-    own = said.select("conv", "turn", F.explode(keys(own_lines(F.col("lines")))).alias("key"))
-    first = own.groupBy("conv", hashed("key").alias("h")).agg(F.min("turn").alias("origin"))
-    levels = F.array_distinct(F.filter(F.transform("lines", lambda x: x["level"]), lambda v: v > 0))
-    by_level = said.select("conv", "turn", "lines", F.explode(levels).alias("level"))
+    levels = F.array_sort(F.array_distinct(F.filter(F.transform("lines", lambda x: x["level"]), lambda v: v > 0)))
     # Lines of another level break a passage; a blank line in their place keeps its paragraphs apart.
-    passage = F.transform("lines", lambda x: F.when(x["level"] == F.col("level"), x["said"]).otherwise(F.lit("")))
-    quoted = by_level.select("conv", "turn", "level", F.explode(keys(passage)).alias("key")).select("conv", "turn", "level", hashed("key").alias("h"), F.length("key").alias("size"))
-    met = quoted.join(first, ["conv", "h"]).where("origin < turn").groupBy("conv", "turn", "level", "origin").agg(F.sum("size").alias("size"))
-    return met.groupBy("conv", "turn").agg(F.max(F.struct((-F.col("level")).alias("near"), "size", "origin"))["origin"].alias("parent"))
+    passage = lambda v: F.transform("lines", lambda x: F.when(x["level"] == v, x["said"]).otherwise(F.lit("")))
+    quoted = F.flatten(F.transform(levels, lambda v: F.transform(keys(passage(v)), lambda k: F.struct(v.alias("level"), F.xxhash64(k).alias("h"), F.length(k).alias("size")))))
+    own = F.transform(keys(own_lines(F.col("lines"))), lambda k: F.xxhash64(k))
+    rows = said.select("conv", "turn", own.alias("own"), quoted.alias("quoted"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, t in common.groups(batches, "conv"):
+            found = most_quoted(t.column("turn").to_pylist(), t.column("own").to_pylist(), t.column("quoted").to_pylist())
+            if found:
+                turn, parent = zip(*found)
+                conv = t.column("conv").combine_chunks().take(pa.array([0] * len(found)))
+                yield pa.RecordBatch.from_arrays([conv, pa.array(turn, pa.int64()), pa.array(parent, pa.int64())], names=["conv", "turn", "parent"])
+
+    n = max(common.partitions(said.sparkSession), 1)
+    out = T.StructType([said.schema["conv"], T.StructField("turn", T.LongType()), T.StructField("parent", T.LongType())])
+    return rows.repartition(n, "conv").sortWithinPartitions("conv", "turn").mapInArrow(work, out)
+
+
+def most_quoted(turn: list[int], own: list[list[int]], quoted: list[list[dict[str, int]]]) -> list[tuple[int, int]]:
+    """(turn, parent) of each turn of a conversation that quotes an earlier one. The rows are in order of turn.
+
+    Messages with the same quoted keys among their own count once, as the latest of them. A passage's keys are tried from
+    the rarest on: what has none of those tried reaches at most the total of the rest, so the search ends, with the
+    same result as if every pair were counted, where that can't win any more.
+    """
+    wanted = {k["h"] for row in quoted for k in row}
+    said: dict[int, dict[frozenset[int], int]] = {}  # by key: the sets that have it, each with its latest turn, in order of turn
+    out = []
+    for t, rows in groupby(range(len(turn)), key=turn.__getitem__):
+        same = list(rows)
+        levels: dict[int, dict[int, int]] = {}
+        for k in (k for i in same for k in quoted[i]):
+            if k["h"] in said:
+                levels.setdefault(k["level"], {})[k["h"]] = k["size"]
+        if levels:
+            out.append((t, _best(levels[min(levels)], said)))
+        mine = frozenset(h for i in same for h in own[i] if h in wanted)
+        for h in mine:
+            sets = said.setdefault(h, {})
+            sets.pop(mine, None)
+            sets[mine] = t
+    return out
+
+
+def _best(sizes: dict[int, int], said: dict[int, dict[frozenset[int], int]]) -> int:
+    """The turn that shares the most of these keys by size, the latest of equals."""
+    rest = sum(sizes.values())
+    best = (0, 0)
+    tried: set[frozenset[int]] = set()
+    for h in sorted(sizes, key=lambda h: (len(said[h]), -sizes[h], h)):
+        if best[0] > rest:
+            break
+        for mine, t in reversed(said[h].items()):
+            if mine in tried:
+                continue
+            tried.add(mine)
+            score = sum(n for k, n in sizes.items() if k in mine)
+            best = max(best, (score, t))
+            if score >= rest:  # none untried has more, and none of as much is later
+                return best[1]
+        rest -= sizes[h]
+    return best[1]
 
 
 def turns(said: DataFrame) -> DataFrame:

@@ -180,6 +180,32 @@ def test_quotes_link_to_their_messages(spark):
     assert by[3, 5]["text"] == "" and by[2, 1]["position"] == 2
 
 
+def test_the_message_quoted_most_is_the_parent(spark):
+    said = [(1, "First one.\nSecond one.\nThird one.\nw"), (2, "Hello"), (3, "Hello"), (5, "First one.\nSecond one.\nThird one.\nu\nv")]
+    asked = [(6, "> First one.\n> Second one.\n> Third one.\n> u\nYes."), (7, "> Hello\nHi."), (8, "> First one.\nAnd?")]
+    df = spark.createDataFrame([("c", t, "u", x) for t, x in said + asked], "conv_id string, turn long, role string, text string").repartition(3)
+    got = {r["turn"]: r["parent_turn"] for r in quotes.link(df, linear=False).collect()}
+    assert got == {1: None, 2: None, 3: None, 5: None, 6: 5, 7: 3, 8: 5}
+
+
+def test_parents_match_counting_every_pair():
+    rng = random.Random(3)
+    for _ in range(300):
+        n = rng.randrange(2, 30)
+        turn = sorted(rng.randrange(40) for _ in range(n))
+        own = [rng.sample(range(9), rng.randrange(5)) for _ in range(n)]
+        quoted = [[{"level": v, "h": h, "size": 1 + h % 4} for v in range(1, 3) for h in rng.sample(range(10), rng.randrange(4))] for _ in range(n)]
+        expected = []
+        for t in sorted(set(turn)):
+            for level in (1, 2):
+                sizes = {k["h"]: k["size"] for i in range(n) if turn[i] == t for k in quoted[i] if k["level"] == level}
+                scores = [(sum(s for h, s in sizes.items() if any(h in own[i] for i in range(n) if turn[i] == o)), o) for o in set(turn) if o < t]
+                if scores and max(scores)[0]:
+                    expected.append((t, max(scores)[1]))
+                    break
+        assert quotes.most_quoted(turn, own, quoted) == expected
+
+
 def test_unquoted_messages_follow_one_another(spark, monkeypatch):
     monkeypatch.setattr(quotes, "BLOCK", 4)
     rows = [(1, t, "u", f"line {t}") for t in range(0, 40, 3)] + [(2, 0, "u", "hi")]
