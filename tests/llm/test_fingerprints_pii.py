@@ -97,6 +97,36 @@ def test_message_passing_is_exact_on_a_chain():
         assert np.allclose(got[k], joint.sum(tuple(a for a in range(4) if a != k)), atol=1e-5)
 
 
+def test_labels_reach_every_repeat():
+    n, size = 31, 5
+    unary = np.zeros((n, size))
+    unary[0, 1:] = unary[0, 0] = -50.0
+    unary[0, 4] = 0.0
+    edges = np.stack([np.arange(n - 1), np.arange(1, n)], 1)
+    for lean in (0.0, -0.4):
+        unary[1:, 4] = lean
+        pair = np.eye(size) * np.log(200)
+        ahead, behind = [np.exp(unary[0])], [np.ones(size)]
+        for k in range(1, n):
+            ahead.append(ahead[-1] @ np.exp(pair) * np.exp(unary[k]))
+            behind.append(np.exp(pair) @ (behind[-1] * np.exp(unary[n - k])))
+        exact = np.array(ahead) * np.array(behind[::-1])
+        exact /= exact.sum(1, keepdims=True)
+        assert np.allclose(pii.marginals(unary, [(edges, pair)]), exact, atol=1e-4)
+
+
+def test_a_text_with_thirty_repeats():
+    field = trained()
+    full, again = "Call +1 (826) 555-4081 today.", " Long after that, ring 826-555-4081 again, or visit room 12."
+    for n in (1, 2, 5, 10, 30):
+        for text in (full + again * n, again * n + " " + full):
+            batch = pa.RecordBatch.from_arrays([pa.array([text])], names=["t"])
+            (_, _, spans, t), = pii._marked_rows(batch, 0)
+            base = pii.labels_of(t, spans)
+            extra = pii.added_spans(t, base, pii.label(t, base, field), text)
+            assert [text[s:e] for s, e in extra[3]] == ["826-555-4081"] * n and not any(extra[:3])
+
+
 def test_edited_texts_match_brute_force(docs, rows):
     got = sorted(fingerprints.edited_likeness(docs).collect(), key=lambda r: (-(2**63) if r["doc_id"] is None else r["doc_id"], r["n_chars"], r["edited"]))
     order = sorted(((-(2**63) if i is None else i, t or "") for i, t in rows))
