@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 
 def keep_best(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The row of each key that comes first in `order`. The rows of a key are combined before the shuffle, so no key is hot.
@@ -45,12 +47,21 @@ def quota_top(df: DataFrame, group: str, k: int, quota: int, *order: Column) ->
 def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
     """df with gapless numbers from 1 in the given order, without bringing all rows into one task.
 
-    Rows are dealt into sorted ranges, each numbered by itself; the ranges' counts are then added up.
+    Rows are dealt into sorted ranges once and written to the shared folder with their place in their range, so that the
+    counts of the ranges, of which the driver adds up one number for each, are those of the very rows that are numbered.
+    An empty table gives no rows; rows that tie in all of `order` are numbered in any order.
     """
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    ranged = df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
-    ranked = ranged.withColumn("_in", F.row_number().over(W.partitionBy("_part").orderBy(*order)))
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))).select("_part", F.coalesce("_before", F.lit(0)).alias("_before"))
-    return ranked.join(F.broadcast(before), "_part").withColumn(name, (F.col("_before") + F.col("_in")).cast("long")).drop("_part", "_in", "_before")
+    at, begin = "_at", "_begin"
+    while {at, begin} & set(df.columns):
+        at, begin = at + "_", begin + "_"
+    ranged = stored(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id()))
+    part, place = F.shiftright(at, 33), F.col(at).bitwiseAND((1 << 33) - 1)
+    sizes = sorted(ranged.groupBy(part.alias("p")).agg(F.max(place).alias("last")).collect())
+    offsets, total = {}, 0
+    for p, last in sizes:
+        offsets[p], total = total, total + last + 1
+    starts = spark.createDataFrame(list(offsets.items()), "_part long, _start long")  # one row for each shuffle partition
+    met = ranged.withColumn(begin, part).join(F.broadcast(starts), F.col(begin) == F.col("_part"))
+    return met.select(*[F.col(f"`{c}`") for c in df.columns if c != name], (F.col("_start") + place + 1).cast("long").alias(name))

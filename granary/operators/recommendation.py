@@ -21,7 +21,7 @@ def lookup(values: dict[str, float], key: Column, default: float) -> Column:
 def match_rates(bridge: DataFrame, ingredients: DataFrame, owned: DataFrame, min_rate: float = 0.0) -> DataFrame:
     """recipe_id, total, matched, match_rate over distinct ingredients that exist; recipes without a match are left out."""
     known = bridge.distinct().join(ingredients.select("ingredient_id"), "ingredient_id")
-    flagged = known.join(owned.withColumn("own", F.lit(1)), "ingredient_id", "left")
+    flagged = known.join(owned.select("ingredient_id").distinct().withColumn("own", F.lit(1)), "ingredient_id", "left")
     got = flagged.groupBy("recipe_id").agg(F.count("*").alias("total"), F.count("own").alias("matched"))
     rate = F.col("matched") / F.col("total")
     return got.where((F.col("matched") > 0) & (rate >= min_rate)).withColumn("match_rate", F.round(rate, 4))
@@ -49,7 +49,7 @@ def composite(bridge: DataFrame, weighted: DataFrame, owned: DataFrame, substitu
 
     substitutes: ingredient_id and credit of what a missing ingredient's substitute is worth; it counts by its credit.
     """
-    rows = bridge.distinct().join(weighted, "ingredient_id").join(owned.withColumn("own", F.lit(1)), "ingredient_id", "left")
+    rows = bridge.distinct().join(weighted, "ingredient_id").join(owned.select("ingredient_id").distinct().withColumn("own", F.lit(1)), "ingredient_id", "left")
     rows = rows.join(substitutes.select("ingredient_id", "credit"), "ingredient_id", "left") if substitutes is not None else rows.withColumn("credit", F.lit(None).cast("double"))
     have, sub = F.col("own").isNotNull(), F.col("own").isNull() & F.col("credit").isNotNull()
     got = rows.groupBy("recipe_id").agg(
@@ -98,7 +98,7 @@ def urgency_scores(bridge: DataFrame, stock: DataFrame) -> DataFrame:
 
 def matched_and_missing(bridge: DataFrame, owned: DataFrame) -> DataFrame:
     """The sorted distinct ingredients of each recipe that are owned, and those that are not. A recipe's list is short."""
-    flagged = bridge.distinct().join(owned.withColumn("own", F.lit(True)), "ingredient_id", "left")
+    flagged = bridge.distinct().join(owned.select("ingredient_id").distinct().withColumn("own", F.lit(True)), "ingredient_id", "left")
     got = flagged.groupBy("recipe_id").agg(F.sort_array(F.collect_list(F.when(F.col("own"), F.col("ingredient_id")))).alias("matched"), F.sort_array(F.collect_list(F.when(F.col("own").isNull(), F.col("ingredient_id")))).alias("missing"))
     return got
 

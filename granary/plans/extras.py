@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evaluation
+from ..session import work_dir
 from ..sources import files
 from ..streaming import monitor as streams
 from .registry import query, table
@@ -44,21 +42,16 @@ def field_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.field_accuracy(orders, {"status_accuracy": (F.col("o_orderstatus"), F.when(F.col("o_orderkey") % 5 != 0, "F")), "priority_accuracy": (F.col("o_orderpriority"), F.lit("5-LOW"))})
 
 
-def _shared_folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp()
-    return f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
-
-
 @query("csv_roundtrip", "SELECT n_nationkey, n_name FROM nation")
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _shared_folder(spark)
+    path = work_dir(spark)
     files.append_csv(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), path)
     return files.read_csv(spark, path, "n_nationkey int, n_name string")
 
 
 @query("json_roundtrip", "SELECT s_suppkey, s_name FROM supplier")
 def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _shared_folder(spark)
+    path = work_dir(spark)
     files.write_json(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), path)
     return files.read_json(spark, path, "s_suppkey long, s_name string", multiline=False)
 

@@ -41,12 +41,23 @@ def merge_cross_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("key_md5", "doc_id", "lang", F.size("lines").cast("long").alias("n_lines"), F.array_join("sources", ",").alias("sources"))
 
 
-@query("merge_map_fold")
+FOLD_SQL = """
+WITH RECURSIVE e AS (SELECT user_id, event_type, event_id, event_id % 3 AS wide, dense_rank() OVER (ORDER BY event_type) AS rank, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id % 3 DESC, event_id) AS best FROM events),
+m AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY rank) AS k, CASE wide WHEN 0 THEN map {'a': event_id::VARCHAR} WHEN 1 THEN map {'a': event_id::VARCHAR, 'b': event_type} ELSE map {'a': event_type, 'c': event_id::VARCHAR, event_type: 'x'} END AS m FROM e WHERE best = 1),
+f AS (SELECT user_id, k, m AS acc FROM m WHERE k = 1 UNION ALL SELECT m.user_id, m.k, CASE WHEN cardinality(m.m) > cardinality(f.acc) THEN map_concat(f.acc, m.m) ELSE map_concat(m.m, f.acc) END FROM f JOIN m ON m.user_id = f.user_id AND m.k = f.k + 1)
+SELECT user_id, array_to_string(list_sort(list_transform(map_entries(arg_max(acc, k)), lambda x: x.key || '=' || x.value)), ',') AS folded FROM f GROUP BY user_id"""
+
+
+@query("merge_map_fold", FOLD_SQL)
 def merge_map_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event properties of a user, folded hour by hour; tests hold the fold against a loop."""
-    events = table(spark, sf_dir, "events").select("user_id", "event_id", F.create_map(F.col("event_type"), F.round("value", 3).cast("string"), F.concat(F.lit("u"), (F.col("event_id") % 3).cast("string")), F.col("event_id").cast("string")).alias("m"))
-    best = ranking.top_per_group(events, ["user_id"], 8, F.col("event_id"))
-    got = merging.merge_sources(best, "user_id", "rank", [], [], [], ["m"])
+    """The properties of a user, an event type as a source: of each source the richest event, their maps folded in order."""
+    event = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", (F.col("event_id") % 3).alias("wide"))
+    one = merging.richest(event, ["user_id", "event_type"], "wide", "event_id")
+    number = F.col("event_id").cast("string")
+    pair = lambda *kv: F.create_map(*kv)
+    made = F.when(F.col("wide") == 0, pair(F.lit("a"), number)).when(F.col("wide") == 1, pair(F.lit("a"), number, F.lit("b"), F.col("event_type"))).otherwise(pair(F.lit("a"), F.col("event_type"), F.lit("c"), number, F.col("event_type"), F.lit("x")))
+    # merge_sources orders the sources by name here: the least comes first, as it would by its rank.
+    got = merging.merge_sources(one.withColumn("m", made), "user_id", "event_type", [], [], [], ["m"])
     return got.select("user_id", F.array_join(F.array_sort(F.transform(F.map_entries("m"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",").alias("folded"))
 
 

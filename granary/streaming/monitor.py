@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import ship, work_dir
 
 
 def file_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -57,8 +55,7 @@ def run_to_end(stream: DataFrame, mode: str) -> DataFrame:
     In complete mode the last batch holds all; else all batches do.
     """
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp()
-    out = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    out = work_dir(spark)
     seen: list[int] = []
 
     def keep(df: DataFrame, batch: int) -> None:

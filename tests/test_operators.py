@@ -46,6 +46,26 @@ def test_numbers_are_gapless(spark):
     assert all(r["n"] == r["v"] + 1 for r in got)
 
 
+def test_numbers_of_a_million_wide_rows_are_gapless(spark):
+    df = spark.range(0, 1_000_000, 1, 16).select(F.xxhash64("id").alias("v"), F.col("id").cast("string").alias("w"), F.array("id").alias("x"), F.struct("id").alias("_at"))
+    got = ranking.numbered(df, "n", F.col("v")).agg(F.count_distinct("n"), F.min("n"), F.max("n"), F.count_distinct("w")).first()
+    assert tuple(got) == (1_000_000, 1, 1_000_000, 1_000_000)
+    low = ranking.numbered(df, "n", F.col("v")).where("n in (500000, 500001)").orderBy("n").select("v").collect()
+    assert low[0][0] < low[1][0]
+
+
+def test_numbers_of_no_rows(spark):
+    assert ranking.numbered(spark.createDataFrame([], "v int, w string"), "n", F.col("v")).count() == 0
+
+
+def test_repeated_owned_ids_count_once(spark):
+    bridge = spark.createDataFrame([(1, 1), (1, 2)], "recipe_id long, ingredient_id long")
+    ingr = spark.createDataFrame([(1,), (2,)], "ingredient_id long")
+    owned = spark.createDataFrame([(1,), (1,)], "ingredient_id long")
+    got = recommendation.match_rates(bridge, ingr, owned).first()
+    assert (got["total"], got["matched"], got["match_rate"]) == (2, 1, 0.5)
+
+
 def test_steps_and_lists(spark):
     row = spark.createDataFrame([(["1. 썰기", " ", "2) 볶기"], "①씻고 ②썬다", "양파(국산) 1개, 돼지고기 200g, 소금", "그냥 하나")], "s array<string>, c string, l string, o string").select(
         merging.dense_steps(F.col("s")).alias("s"), merging.circled_steps(F.col("c")).alias("c"), merging.listed_names(F.col("l")).alias("l"), merging.circled_steps(F.col("o")).alias("o")

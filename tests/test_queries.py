@@ -25,24 +25,6 @@ def test_query(spark, con, name):
         assert df.count() > 0
 
 
-def test_map_fold_matches_a_loop(spark):
-    rows = spark.read.parquet(f"{FOLDER}/events.parquet").orderBy("event_id").collect()
-    users: dict = {}
-    for r in rows:
-        own = users.setdefault(r["user_id"], [])
-        if len(own) < 8:
-            own.append({r["event_type"]: None, f"u{r['event_id'] % 3}": str(r["event_id"])} | {r["event_type"]: round(r["value"], 3)})
-    folded = {}
-    for u, maps in users.items():
-        acc: dict = {}
-        for m in maps:
-            acc = {**acc, **m} if len(m) > len(acc) else {**m, **acc}
-        folded[u] = {k for k in acc} | {v for k, v in acc.items() if k.startswith("u")}
-    for r in catalog.QUERIES["merge_map_fold"](spark, FOLDER).collect():
-        pairs = dict(x.split("=") for x in r["folded"].split(","))
-        assert set(pairs) | {v for k, v in pairs.items() if k.startswith("u")} == folded[r["user_id"]]
-
-
 def test_entry_and_registration(spark):
     import __spark_entry__ as e
 
