@@ -14,8 +14,10 @@ from . import common
 
 #: Consecutive turns of a conversation that are ordered together; a longer conversation is ordered block by block.
 BLOCK = 4096
-#: Line breaks may be "\\n" or "\\r\\n"; a quoted line begins with one ">" for each level, white space between.
-MARKS = r"^(?:\s*>)+"
+#: Line breaks may be "\\n" or "\\r\\n"; a quoted line begins with one ">" for each level, white space between. Patterns
+#: that repeat a group recurse once for each round in the JVM, so runs are matched as one possessive class and cut at signs.
+MARKS = r"^[\s>]*+"
+WHITE = " \t\n\x0b\f\r"
 #: A line that announces a quotation below it.
 ANNOUNCED = r"(?i)\b(?:wrote|writes|schrieb|a écrit|escribió)\s*:\s*$"
 
@@ -23,7 +25,22 @@ ANNOUNCED = r"(?i)\b(?:wrote|writes|schrieb|a écrit|escribió)\s*:\s*$"
 def parsed(text: Column) -> Column:
     """The lines of a text: quote level (0: own) and what it says without the marks."""
     lines = F.split(F.coalesce(text, F.lit("")), r"\r?\n")
-    return F.transform(lines, lambda x: F.struct(F.length(F.regexp_replace(F.regexp_extract(x, MARKS, 0), "[^>]", "")).alias("level"), F.regexp_replace(x, MARKS + r"\s?", "").alias("said")))
+
+    def line(x: Column) -> Column:
+        run = F.regexp_extract(x, MARKS, 0)
+        level = F.length(run) - F.length(F.replace(run, F.lit(">"), F.lit("")))
+        white = F.length(F.substring_index(run, ">", -1))  # behind the last mark; one character of it belongs to the marks
+        said = F.when(level > 0, F.substr(x, F.length(run) - F.greatest(white - 1, F.lit(0)) + 1)).otherwise(x)
+        return F.struct(level.alias("level"), said.alias("said"))
+
+    return F.transform(lines, line)
+
+
+def tidy(text: Column) -> Column:
+    """The text without leading blank lines and white space at its end."""
+    lead = F.regexp_extract(text, r"^[ \t\n]*+", 0)
+    blank = F.length(lead) - F.length(F.substring_index(lead, "\n", -1))
+    return F.rtrim(F.substr(text, blank + 1), F.lit(WHITE))
 
 
 def own_lines(lines: Column) -> Column:
@@ -57,10 +74,12 @@ def parents(said: DataFrame) -> DataFrame:
     """
     levels = F.array_sort(F.array_distinct(F.filter(F.transform("lines", lambda x: x["level"]), lambda v: v > 0)))
     # Lines of another level break a passage; a blank line in their place keeps its paragraphs apart.
-    passage = lambda v: F.transform("lines", lambda x: F.when(x["level"] == v, x["said"]).otherwise(F.lit("")))
+    before = F.concat(F.array(F.lit(-1)), F.transform("lines", lambda x: x["level"]))
+    broken = F.zip_with("lines", before, lambda x, b: F.struct(x["level"].alias("level"), F.when(x["level"] == b, x["said"]).otherwise(F.concat(F.lit("\n"), x["said"])).alias("said")))
+    passage = lambda v: F.transform(F.filter("broken", lambda x: x["level"] == v), lambda x: x["said"])
     quoted = F.flatten(F.transform(levels, lambda v: F.transform(keys(passage(v)), lambda k: F.struct(v.alias("level"), F.xxhash64(k).alias("h"), F.length(k).alias("size")))))
     own = F.transform(keys(own_lines(F.col("lines"))), lambda k: F.xxhash64(k))
-    rows = said.select("conv", "turn", own.alias("own"), quoted.alias("quoted"))
+    rows = said.withColumn("broken", broken).select("conv", "turn", own.alias("own"), quoted.alias("quoted"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, t in common.groups(batches, "conv"):
@@ -181,7 +200,7 @@ def link(df: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "
     held = name("_lines")
     given, lines = df.withColumn(held, parsed(F.col(f"`{text}`"))), F.col(held)
     levels = F.transform(lines, lambda x: x["level"])
-    plain = F.regexp_replace(F.array_join(own_lines(lines), "\n"), r"^(?:[ \t]*\n)+|\s+$", "")
+    plain = tidy(F.array_join(own_lines(lines), "\n"))
     rows = given.select(
         *[plain.alias(c) if c == text else F.col(f"`{c}`") for c in df.columns],
         F.size(F.filter(levels, lambda v: v > 0)).cast("long").alias(name("n_quoted")),

@@ -220,3 +220,34 @@ def test_clean_drops_what_is_found(spark, bench):
     rows = [(1, items[8][1], "a"), (2, "before " + items[9][1] + " after", "b"), (3, "nothing to see here at all", "c"), (None, None, "d"), (1, "other text", "e")]
     got = decontamination.clean(spark.createDataFrame(rows, "doc_id long, text string, item_id string"), table.where("item_id > 3"))
     assert got.columns == ["doc_id", "text", "item_id"] and {r["item_id"] for r in got.collect()} == {"c", "d", "e"}
+
+
+def test_very_long_runs_of_marks_and_breaks(spark):
+    n = 100_000
+    quote = "> a passage that is quoted here"
+    texts = ["a passage that is quoted here", ">" * n + " deep", "> " * n + "deep", "\n" * n + quote + "\nown" + "\n" * n, " " * n + "x" + " " * n, "\r\n" * n, (">\n" * n), "\n".join(">" * k + " x" for k in range(300)), ">" + " " * n]
+    df = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "conv_id long, turn int, text string")
+    got = {r["turn"]: r for r in quotes.link(df).collect()}
+    assert [got[i]["quote_depth"] for i in range(9)] == [0, n, n, 1, 0, 0, 1, 299, 1]
+    assert got[3]["text"] == "own" and got[3]["linked"] and got[3]["parent_turn"] == 0
+    assert got[4]["text"] == " " * n + "x" and got[5]["text"] == "" and got[1]["text"] == ""
+
+
+def test_marks_by_a_slower_rule(spark):
+    import random
+    import re
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("> \ta\n\r") for _ in range(rng.randrange(30))) for _ in range(400)]
+
+    def slow(text):
+        out = []
+        for line in re.split("\r?\n", text):
+            m = re.match(r"(?:[ \t\n\x0b\f\r]*>)+", line)
+            out.append((m[0].count(">"), re.sub(r"^[ \t\n\x0b\f\r]", "", line[m.end() :], count=1)) if m else (0, line))
+        return out
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", quotes.parsed(F.col("t")).alias("p"), quotes.tidy(F.col("t")).alias("tidy"))
+    for r in df.collect():
+        assert [(x["level"], x["said"]) for x in r["p"]] == slow(r["t"])
+        assert r["tidy"] == re.sub(r"\A(?:[ \t]*\n)+", "", r["t"]).rstrip(" \t\n\x0b\f\r")
