@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -15,10 +16,17 @@ from ..session import discard, ship, stored, work_dir
 __all__ = ["discard", "ship", "stored", "work_dir"]
 
 #: Text bytes that one range of documents should hold; a task works on one range at a time. Ranges grow with the table, up
-#: to MOST_BYTES, so that their cuts, which the driver holds, stay few.
-RANGE_BYTES, MOST_BYTES, MOST_RANGES = 4 << 20, 64 << 20, 20_000
-#: Text bytes for each bucket of hashes; a task sorts the hashes of one bucket at a time, about as many bytes.
-HASHED_BYTES = 16 << 20
+#: to MOST_BYTES. The driver holds MOST_CUTS cuts at most; beyond that a range between two cuts is split evenly by id.
+RANGE_BYTES, MOST_BYTES, MOST_CUTS = 4 << 20, 64 << 20, 20_000
+#: Rows that the cuts are worked out from, for each cut; a row is taken with a chance in proportion to its bytes.
+SAMPLED = 40
+#: Text bytes for each bucket of hashes, whose hashes are about as many bytes; a task sorts one bucket at a time. Beyond
+#: MOST_BUCKETS buckets grow with the table.
+HASHED_BYTES, MOST_BUCKETS = 16 << 20, 200_000
+#: Partitions of an exchange at most; a partition holds several ranges or buckets, one after the other, beyond that.
+MOST_PARTITIONS = 20_000
+LEAST_ID = -(2**63)
+TIE_BITS = 47
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,35 +48,135 @@ def free_name(df: DataFrame, name: str) -> str:
 
 
 def text_bytes(df: DataFrame, text: str) -> int:
-    got = df.agg(F.sum(F.octet_length(F.col(text)).cast("long") + 1)).first()[0]
+    got = df.agg(F.sum(F.coalesce(F.octet_length(F.col(f"`{text}`")).cast("long"), F.lit(0)) + 1)).first()[0]
     return int(got or 0)
 
 
-def id_bounds(df: DataFrame, id_col: str, n: int) -> list[int]:
-    """At most n-1 ascending cuts that split df into ranges of about as many rows. Only n numbers reach the driver."""
-    if n <= 1:
-        return []
-    got = df.approxQuantile(id_col, [i / n for i in range(1, n)], 1 / (8 * n))
-    return sorted({int(x) for x in got})
-
-
-def range_of(bounds: list[int], id_col: Column) -> Column:
-    """The number of the range that an id lies in: how many cuts are at or below it. A null id lies in range 0."""
-    cuts = np.array(bounds, dtype=np.int64)
-
-    @F.arrow_udf("int")
-    def place(ids: pa.Array) -> pa.Array:
-        got = np.searchsorted(cuts, ids.to_numpy(zero_copy_only=False), side="right")
-        return pa.array(got.astype(np.int32))
-
-    return place(F.coalesce(id_col.cast("long"), F.lit(-(2**63))))
-
-
-def range_plan(df: DataFrame, text: str) -> tuple[int, int]:
-    """How many ranges of ids, and how many buckets of hashes, a table is dealt into: by its bytes, one for each shuffle partition at least."""
-    total, least = text_bytes(df, text), partitions(df.sparkSession)
-    size = min(MOST_BYTES, max(RANGE_BYTES, total // MOST_RANGES))
-    return max(least, math.ceil(total / size)), max(least, math.ceil(total / HASHED_BYTES))
+def long_id(id_col: str) -> Column:
+    """The id as a number; a null id is the least of all."""
+    return F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LEAST_ID))
+
+
+def hashed(df: DataFrame) -> Column:
+    """A hash of all columns that can be hashed."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()])
+
+
+def copies_told_apart(df: DataFrame, mark: str, salt: str) -> DataFrame:
+    """df with a mark, the hash of the row, and a salt that is 0, but numbers the copies of rows that come more than once.
+
+    Repeated marks are found from the marks alone. Their rows are grouped over all columns, which counts copies before
+    the shuffle, and dealt out again; so even copies that make up a third of all rows scatter evenly, and the same table
+    gives the same salts on any cluster.
+    """
+    again, n = free_name(df, "_again"), free_name(df, "_n")
+    marked = df.withColumn(mark, hashed(df))
+    repeated = marked.groupBy(F.col(mark).alias(again)).agg(F.count("*").alias(n)).where(F.col(n) > 1).select(again)
+    if repeated.isEmpty():
+        return marked.withColumn(salt, F.lit(0))
+    match = F.col(mark) == F.col(again)
+    once = marked.join(repeated, match, "left_anti").withColumn(salt, F.lit(0))
+    every = [F.col(f"`{c}`") for c in marked.columns]
+    more = marked.join(repeated, match, "left_semi").groupBy(*every).agg(F.count("*").alias(n))
+    return once.unionByName(more.select(*every, F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int"))).alias(salt)))
+
+
+def in_order(docs: DataFrame, id_col: str, text_col: str, rest: list[str]) -> DataFrame:
+    """_id, _tie, _text and _rest (a struct of other columns) of every row, which is in the order of id, then tie, then text.
+
+    The tie is 31 bits of a hash of the text, then 16 that tell equal rows apart, so rows of one id spread over ranges.
+    """
+    mark, salt = free_name(docs, "_mark"), free_name(docs, "_salt")
+    high = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))), 33)
+    return copies_told_apart(docs, mark, salt).select(
+        long_id(id_col).alias("_id"),
+        F.shiftleft(high, 16).bitwiseOR(F.pmod(F.col(salt).cast("long"), F.lit(1 << 16))).alias("_tie"),
+        F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"),
+        F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_rest") if rest else F.lit(None).cast("int").alias("_rest"),
+    )
+
+
+class Ranges(NamedTuple):
+    """Ascending cuts (id, tie) that split a table into groups of about as many bytes, and into how many ranges each is split again.
+
+    A cut is the first key of its group. An id may lie in several ranges, so a hot or null id is spread over tasks.
+    low and high are the ids between which a group lies: it is split evenly by id, or by tie if all of it is one id.
+    """
+
+    ids: np.ndarray
+    ties: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    inner: int = 1
+
+    @property
+    def count(self) -> int:
+        return (len(self.ids) + 1) * self.inner
+
+    def head(self, number: int) -> int | None:
+        """The id that a range begins with, if rows of that id may lie in the range before it."""
+        group, k = divmod(number, self.inner)
+        if k and self.low[group] == self.high[group] or not k and group:
+            return int(self.low[group])
+        return None
+
+    def tail(self, number: int) -> int:
+        """The id whose rows may go on in the range after."""
+        return int(self.high[number // self.inner])
+
+    def number(self, id_col: Column, tie_col: Column) -> Column:
+        """The number of the range that a key lies in."""
+        known, begin = np.unique(self.ids, return_index=True)
+        first = np.append(begin, len(self.ids))
+        keys = np.repeat(np.arange(len(known)), np.diff(first)) * (1 << TIE_BITS) + self.ties
+        low, high, inner = self.low.astype(np.float64), self.high.astype(np.float64), self.inner
+
+        @F.arrow_udf("long")
+        def place(ids: pa.Array, ties: pa.Array) -> pa.Array:
+            i, t = ids.to_numpy(zero_copy_only=False), ties.to_numpy(zero_copy_only=False)
+            k = np.searchsorted(known, i)
+            own = k < len(known)
+            own[own] = known[k[own]] == i[own]
+            got = first[k].astype(np.int64)
+            got[own] = np.searchsorted(keys, k[own] * (1 << TIE_BITS) + t[own], side="right")
+            if inner > 1:
+                a, b = low[got], high[got]
+                share = np.where(b > a, (i - a) / np.maximum(b - a, 1), t / float(1 << TIE_BITS))
+                got = got * inner + np.clip(share * inner, 0, inner - 1).astype(np.int64)
+            return pa.array(got)
+
+        return place(id_col, tie_col)
+
+
+def ranges(rows: DataFrame) -> Ranges:
+    """Ranges of the keys (_id, _tie) of rows in_order by bytes, one for each shuffle partition at least.
+
+    The cuts come from a sample of about SAMPLED rows a cut, in which a row's chance grows with its bytes; they decide
+    how even the ranges are, never what is in the result.
+    """
+    total = text_bytes(rows, "_text")
+    n = max(partitions(rows.sparkSession), math.ceil(total / min(MOST_BYTES, max(RANGE_BYTES, total // MOST_CUTS))))
+    cuts = min(n, MOST_CUTS)
+    none = np.zeros(0, np.int64)
+    whole = Ranges(none, none, np.array([LEAST_ID]), np.array([2**63 - 1]))
+    if cuts < 2 or not total:
+        return whole
+    size = (F.octet_length("_text") + 1).cast("long").alias("b")
+    picked = rows.select("_id", "_tie", size).where(F.rand(7) * float(total) < F.col("b") * float(SAMPLED * cuts)).toArrow()
+    i, t, b = (picked.column(c).to_numpy() for c in ("_id", "_tie", "b"))
+    if not len(i):
+        return whole
+    order = np.lexsort((t, i))
+    weight = np.cumsum(np.maximum(b[order], total / (SAMPLED * cuts)))
+    at = np.unique(np.minimum(np.searchsorted(weight, weight[-1] * np.arange(1, cuts) / cuts), len(order) - 1))
+    keys = np.unique(np.stack([i[order][at], t[order][at]], 1), axis=0)
+    ids = keys[:, 0].copy()
+    return Ranges(ids, keys[:, 1].copy(), np.append(i.min(), ids), np.append(ids, i.max()), math.ceil(n / cuts))
+
+
+def bucket_count(df: DataFrame, text_col: str) -> int:
+    """How many buckets of hashes the windows of a table are dealt into."""
+    return max(partitions(df.sparkSession), min(MOST_BUCKETS, math.ceil(text_bytes(df, text_col) / HASHED_BYTES)))
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
 
@@ -26,7 +25,9 @@ _MIX = _rng.integers(0, 2**32, (3, 256), dtype=np.uint32)
 def counts(data: np.ndarray) -> np.ndarray:
     """How many of the text's byte triplets fall into each bucket; triplets take in bytes up to four apart."""
     total = np.zeros(BUCKETS, np.int64)
-    if len(data) < 3:
+    if len(data) < 3:  # no triplet: each byte counts in a bucket of its own value, that of the second byte on the other side
+        for k, x in enumerate(data.tolist()):
+            total[(x + BUCKETS // 2 * k) % BUCKETS] += 1
         return total
     a, b, c = _MIX[0][data], _MIX[1][data], _MIX[2][data]
     for i, j in ((1, 2), (1, 3), (2, 3)):
@@ -90,38 +91,38 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.withColumn(common.free_name(docs, "fingerprint"), of(F.col(text_col)))
 
 
-def neighbour_ranges(docs: DataFrame, id_col: str, n: int, bounds: list[int]) -> DataFrame:
-    """docs in ranges of ascending id; the first row of each range comes also at the end of the range before it (_ghost).
+def neighbour_ranges(rows: DataFrame, cut: common.Ranges) -> DataFrame:
+    """rows (_id, _tie, _text) in ranges; the first row of each range comes also at the end of the range before it (_ghost).
 
-    One id for each range reaches the driver. The first range follows the last, so the last document has a next one.
+    One key for each range, of which the driver holds MOST_CUTS at most, reaches it. The first range follows the last,
+    so the last document has a next one.
     """
-    number = common.range_of(bounds, F.col(id_col))
-    placed = docs.withColumn("_range", number)
-    firsts = sorted(tuple(r) for r in placed.select("_range", F.coalesce(F.col(id_col), F.lit(-(2**63))).alias("i")).groupBy("_range").agg(F.min("i")).collect())
+    placed = rows.withColumn("_range", cut.number(F.col("_id"), F.col("_tie")))
+    firsts = sorted(placed.groupBy("_range").agg(F.min(F.struct("_id", "_tie")).alias("k")).select("_range", "k._id", "k._tie").collect())
     if not firsts:
         return placed.withColumn("_ghost", F.lit(False))
-    before = {first: firsts[k - 1][0] for k, (_, first) in enumerate(firsts)}
-    spots = docs.sparkSession.createDataFrame([(i, r) for i, r in before.items()], "_first long, _home int")
-    ghosts = placed.join(F.broadcast(spots), F.coalesce(F.col(id_col), F.lit(-(2**63))) == F.col("_first"))
-    # Rows may share the range's first id; the one whose text sorts first is the one that comes first.
-    one = ghosts.groupBy("_first").agg(F.min_by(F.struct(*[c for c in placed.columns if c != "_range"], F.col("_home").alias("_range")), F.coalesce("text", F.lit(""))).alias("g")).select("g.*")
-    return placed.withColumn("_ghost", F.lit(False)).unionByName(one.withColumn("_ghost", F.lit(True)))
+    spots = rows.sparkSession.createDataFrame([(i, t, firsts[k - 1][0]) for k, (_, i, t) in enumerate(firsts)], "_id long, _tie long, _home long")
+    # Rows may share the range's first key; the one whose text sorts first is the one that comes first.
+    ghosts = placed.drop("_range").join(F.broadcast(spots), ["_id", "_tie"]).groupBy("_id", "_tie", "_home").agg(F.min("_text").alias("_text"))
+    return placed.withColumn("_ghost", F.lit(False)).unionByName(ghosts.select("_id", "_tie", "_text", F.col("_home").alias("_range"), F.lit(True).alias("_ghost")))
 
 
 def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For every row: n_chars, the edited text, both fingerprints, and the likeness to the edited and to the next text.
 
     The edited text has its last floor(n_chars/4) code points replaced by the first as many (or all) of the next
-    document by ascending id; the first follows the last, and a document alone follows itself. Rows of one id are
-    ordered by text; a null id comes first, a null text is empty. The texts are dealt once, by ranges of ids; a range
-    is walked in order and holds two texts at a time. An empty table gives no rows.
+    document by ascending id; the first follows the last, and a document alone follows itself. Rows of one id are in
+    the order of a hash of their text; a null id comes first, a null text is empty. The texts are dealt once, by ranges
+    of about as many bytes, over which one id may spread; a range is walked in order and holds two texts at a time, so
+    a very long text is held alone. Only id and text are read, so other columns' names don't matter. An empty table
+    gives no rows.
     """
     spark = docs.sparkSession
     common.ship(spark)
-    n, _ = common.range_plan(docs, text_col)
     kind = docs.schema[id_col].dataType
-    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ranges = neighbour_ranges(narrow, "id", n, common.id_bounds(narrow, "id", n))
+    rows = common.in_order(docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), id_col, text_col, []).drop("_rest")
+    cut = common.ranges(rows)._replace(inner=1)  # a range is walked, not held, so it may be large
+    ranges = neighbour_ranges(rows, cut)
     schema = T.StructType([T.StructField(id_col, T.LongType()), T.StructField("n_chars", T.LongType()), T.StructField("edited", T.StringType()), T.StructField("fingerprint", T.StringType()), T.StructField("edited_fingerprint", T.StringType()), T.StructField("near_edited", T.DoubleType()), T.StructField("near_next", T.DoubleType())])
     names = [f.name for f in schema.fields]
 
@@ -129,7 +130,7 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         """(row, the row after it) within each range."""
         last = None
         for b in batches:
-            for row in zip(*[b.column(b.schema.get_field_index(c)).to_pylist() for c in ("_range", "_ghost", "id", "text")]):
+            for row in zip(*[b.column(b.schema.get_field_index(c)).to_pylist() for c in ("_range", "_ghost", "_id", "_text")]):
                 own = (*row, codes(np.frombuffer(row[3].encode(), np.uint8)))
                 if last is not None and last[0] == own[0]:
                     yield last, own
@@ -153,5 +154,5 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()))], names=names)
 
-    got = ranges.repartition(n, "_range").sortWithinPartitions("_range", "_ghost", F.col("id").asc_nulls_first(), "text").mapInArrow(work, schema)
-    return got.withColumn(id_col, F.col(id_col).cast(kind))
+    got = ranges.repartition(max(cut.count, common.partitions(spark)), "_range").sortWithinPartitions("_range", "_ghost", "_id", "_tie", "_text").mapInArrow(work, schema)
+    return got.withColumn(id_col, F.nullif(F.col(id_col), F.lit(common.LEAST_ID)).cast(kind))

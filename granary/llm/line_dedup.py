@@ -28,8 +28,8 @@ def line_spans(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
     return first, last, row
 
 
-def line_windows(data: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Window hashes, the first line of each, and the lines. Windows of blank lines alone are left out."""
+def line_windows(data: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Window hashes, second hashes, the first line of each, and the lines. Windows of blank lines alone are left out."""
     first, last, row = line_spans(data, starts)
     h = words.hash_spans(data, first, last)
     got, at = words.windows(h, row, size)
@@ -39,7 +39,7 @@ def line_windows(data: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.nd
     some = np.zeros(len(at), bool)
     for k in range(size):
         some |= said[at + k]
-    return got[some], at[some], (first, last, row)
+    return got[some], words.second_windows(h, at[some], size), at[some], (first, last, row)
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW) -> DataFrame:
@@ -50,16 +50,16 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     alone. The kept lines are joined again by "\\n"; n_lines and n_removed count lines before and those cut, removed
     holds the maximal removed intervals (start, stop) in lines. A null text becomes an empty one (one empty line), a
     document of fewer than `size` lines stays whole, a window of blank lines alone never counts, a null id is the
-    smallest, and rows of one id are ordered by their text. Names that docs has already get an underscore more.
+    smallest, and rows of one id are ordered by a hash of their text. Names that docs has already get an underscore more.
     """
 
-    def find(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        h, at, (_, _, row) = line_windows(data, starts, size)
-        return h, row[at]
+    def find(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        h, second, at, (_, _, row) = line_windows(data, starts, size)
+        return h, second, row[at]
 
     def finish(t: pa.Table, mask: np.ndarray) -> pa.Table:
         data, starts = common.utf8(t.column("_text"))
-        _, at, (first, last, row) = line_windows(data, starts, size)
+        _, _, at, (first, last, row) = line_windows(data, starts, size)
         gone = words.covered(at[mask], size, len(first))
         keep = ~gone
         text = joined(data, first[keep], last[keep], row[keep], t.num_rows, 0x0A)

@@ -17,23 +17,6 @@ from . import common
 BUCKET_BYTES = 8 << 20
 
 
-def copies_told_apart(df: DataFrame, id_col: str, salt: str) -> DataFrame:
-    """df with a salt that is 0, but numbers the copies of a row where its id comes more than once.
-
-    Repeated ids are found from the ids alone. Their rows are grouped over all columns, which counts copies before the
-    shuffle, and dealt out again; so even an id that holds a third of all rows scatters evenly, and the same table
-    gives the same salts on any cluster.
-    """
-    again, n = common.free_name(df, "_again"), common.free_name(df, "_n")
-    repeated = df.groupBy(F.col(f"`{id_col}`").alias(again)).agg(F.count("*").alias(n)).where(F.col(n) > 1).select(again)
-    if repeated.isEmpty():
-        return df.withColumn(salt, F.lit(0))
-    match = F.col(f"`{id_col}`").eqNullSafe(F.col(again))
-    once = df.join(repeated, match, "left_anti").withColumn(salt, F.lit(0))
-    more = df.join(repeated, match, "left_semi").groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count("*").alias(n))
-    return once.unionByName(more.select(*[F.col(f"`{c}`") for c in df.columns], F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int"))).alias(salt)))
-
-
 def fisher_yates(n: int, seed: int) -> np.ndarray:
     """A uniformly random order of n rows; the seed decides it."""
     rng = np.random.default_rng(seed)
@@ -48,39 +31,47 @@ def fisher_yates(n: int, seed: int) -> np.ndarray:
 def shuffle_into_shards(df: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", seed: int = 0, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """All rows and columns of df, with shard (from 0) and slot (gapless from 0 in each shard); shard sizes differ by one row at most.
 
-    Pass one scatters whole records by a seeded hash of id and copy number over buckets of about bucket_bytes. Pass two
-    shuffles each bucket by Fisher-Yates, seeded by the bucket. A bucket's rows follow those of the buckets before it
-    in one global order, of which shard s holds a contiguous share. Equal seeds and tables give equal shards whatever
-    the partitioning. Null ids and texts are ordinary values; an empty table gives no rows; columns named shard or
+    Pass one scatters whole records by a seeded hash of the row and copy number over buckets of about bucket_bytes, so
+    rows of one id, or without one, scatter as any others do. Pass two shuffles each bucket by Fisher-Yates, seeded by
+    the bucket; a partition holds one bucket, or several one after the other where there are more buckets than
+    MOST_PARTITIONS. A bucket's rows follow those of the buckets before it in one global order, of which shard s holds
+    a contiguous share. Equal seeds and tables give equal shards whatever the partitioning. Null ids and texts are
+    ordinary values; a very long text fills a bucket of its own; an empty table gives no rows; columns named shard or
     slot stay, and the new ones get an underscore more.
     """
     spark = df.sparkSession
     common.ship(spark)
-    salt, bucket, shard, slot = (common.free_name(df, n) for n in ("_salt", "_bucket", "shard", "slot"))
+    mark, salt, bucket, part, shard, slot = (common.free_name(df, n) for n in ("_mark", "_salt", "_bucket", "_part", "shard", "slot"))
     n = max(common.partitions(spark), math.ceil(common.text_bytes(df, text_col) / bucket_bytes))
-    salted = copies_told_apart(df, id_col, salt)
-    mark = F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), F.col(salt))
-    placed = salted.withColumn(bucket, F.pmod(mark, F.lit(n)).cast("int"))
-    # One row for each bucket: where its rows begin in the global order.
-    counts = dict(placed.groupBy(bucket).count().collect())
-    begin = np.zeros(n + 1, np.int64)
-    begin[1:] = np.cumsum([counts.get(b, 0) for b in range(n)])
+    each = math.ceil(n / max(common.partitions(spark), common.MOST_PARTITIONS))
+    parts = math.ceil(n / each)
+    salted = common.copies_told_apart(df, mark, salt)
+    home = F.pmod(F.xxhash64(F.lit(seed), F.col(mark), F.col(salt)), F.lit(n))
+    placed = salted.withColumn(bucket, home).withColumn(part, F.floor(F.col(bucket) / each).cast("int"))
+    # One row for each partition: where its rows begin in the global order.
+    counts = dict(placed.groupBy(part).count().collect())
+    begin = np.zeros(parts + 1, np.int64)
+    begin[1:] = np.cumsum([counts.get(b, 0) for b in range(parts)])
     total = int(begin[-1])
     edge = np.array([total * s // shards for s in range(shards + 1)], np.int64)
     out = T.StructType([*df.schema.fields, T.StructField(shard, T.IntegerType()), T.StructField(slot, T.LongType())])
 
     def shuffle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        upto, now = 0, -1
         for b, t in common.groups(batches, bucket):
+            if b // each != now:
+                now = int(b // each)
+                upto = int(begin[now])
             order = fisher_yates(t.num_rows, seed * 1_000_003 + int(b))
-            at = begin[int(b)] + np.arange(t.num_rows)
+            at = upto + np.arange(t.num_rows)
+            upto += t.num_rows
             home = np.searchsorted(edge, at, side="right") - 1
-            t = t.combine_chunks().take(pa.array(order)).drop_columns([bucket, salt])
+            t = t.combine_chunks().take(pa.array(order)).drop_columns([mark, salt, bucket, part])
             t = t.append_column(shard, pa.array(home.astype(np.int32))).append_column(slot, pa.array(at - edge[home]))
             yield from t.to_batches(max_chunksize=4096)
 
     # The order before the shuffle must be the same in every attempt; copies that tie are alike.
-    ties = [F.col(bucket), F.col(f"`{id_col}`"), F.col(salt), F.xxhash64(F.col(f"`{text_col}`"))]
-    return placed.repartition(n, bucket).sortWithinPartitions(*ties).mapInArrow(shuffle, out)
+    return placed.repartition(parts, part).sortWithinPartitions(bucket, mark, salt).mapInArrow(shuffle, out)
 
 
 def write_shards(df: DataFrame, path: str, shards: int, **options) -> None:

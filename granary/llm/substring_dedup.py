@@ -72,10 +72,10 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     don't cut each other, and a null id counts as the smallest. Names that docs has already get an underscore more.
     """
 
-    def find(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def find(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         h, row, _, _ = words.words(data, starts)
         got, at = words.windows(h, row, size)
-        return got, row[at]
+        return got, words.second_windows(h, at, size), row[at]
 
     def finish(t: pa.Table, mask: np.ndarray) -> pa.Table:
         data, starts = common.utf8(t.column("_text"))

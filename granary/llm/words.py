@@ -108,15 +108,25 @@ def windows(h: np.ndarray, row: np.ndarray, size: int) -> tuple[np.ndarray, np.n
     return mix(out[at]), at
 
 
+def second_windows(h: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """A second hash, of 32 bits, of the windows of `size` words that begin at `at`, independent of the first."""
+    n = len(h) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint32)
+    low = (h ^ (h >> U(29))).astype(np.uint32)
+    out = np.zeros(n, np.uint32)
+    for k in range(size):
+        out *= np.uint32(0x9E3779B1)
+        out += low[k : k + n]
+        out ^= out >> np.uint32(15)
+    out = out[at]
+    out *= np.uint32(0x85EBCA6B)
+    return out ^ (out >> np.uint32(16))
+
+
 def covered(at: np.ndarray, size: int, n: int) -> np.ndarray:
     """Which of n positions lie in a window of `size` that begins at one of `at`: overlapping windows merge into intervals."""
     turns = np.zeros(n + 1, np.int32)
     np.add.at(turns, at, 1)
     np.add.at(turns, np.minimum(at + size, n), -1)
     return np.cumsum(turns[:-1]) > 0
-
-
-def digest(parts) -> str:
-    import hashlib
-
-    return hashlib.sha256(parts).hexdigest()

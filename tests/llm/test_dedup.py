@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from granary.llm import line_dedup, ngram_join, substring_dedup
 from granary.llm.components import components
 
@@ -120,3 +122,28 @@ def test_empty_tables(empty):
     assert substring_dedup.deduplicate(empty).count() == 0
     assert line_dedup.deduplicate(empty).count() == 0
     assert ngram_join.link(empty).count() == 0
+
+
+def test_one_id_spreads_over_ranges(spark, monkeypatch):
+    """A null id with most rows, and one more hot id: results as by brute force, and no range holds an unfair share."""
+    from granary.llm import common
+
+    monkeypatch.setattr(common, "RANGE_BYTES", 1 << 12)
+    rng = random.Random(11)
+    part = [prose(rng, 16) for _ in range(8)]
+    rows = [(i, prose(rng, 14) + "\n" + rng.choice(part) + "\n" + prose(rng, 3)) for i in [None] * 260 + [50] * 160 + list(range(100))]
+    rows += [(None, None)] * 40 + [(50, rows[300][1])] * 30 + [(7, prose(rng, 4000))]
+    for inner in (1, 3):
+        monkeypatch.setattr(common, "MOST_CUTS", 20_000 if inner == 1 else 12)
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+        ordered = common.in_order(df, "doc_id", "text", [])
+        cut = common.ranges(ordered)
+        sizes = [r[1] for r in ordered.groupBy(cut.number(F.col("_id"), F.col("_tie")).alias("r")).agg(F.sum(F.octet_length("_text") + 1)).collect()]
+        assert len(sizes) > 8 and max(sizes) < 0.3 * sum(sizes)
+        got = substring_dedup.deduplicate(df).collect()
+        assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["text"]) for r in got) == brute_substring(rows, 13)
+    lines = line_dedup.deduplicate(df.withColumn("text", F.concat(F.lit("a\nb\n"), "text"))).collect()
+    whole = [(r["doc_id"], r["text"]) for r in lines]
+    assert len(whole) == len(rows) and sum(r["n_removed"] == 0 for r in lines) < len(rows)
+    once = Counter(tuple(t.split("\n")[k : k + 3]) for _, t in whole for k in range(len(t.split("\n")) - 2) if any(x.strip() for x in t.split("\n")[k : k + 3]))
+    assert all(n == 1 for n in once.values())

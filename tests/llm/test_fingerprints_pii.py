@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from granary.llm import common, fingerprints, pii
 
@@ -128,8 +129,13 @@ def test_a_text_with_thirty_repeats():
 
 
 def test_edited_texts_match_brute_force(docs, rows):
+    check_edited(docs, rows)
+
+
+def check_edited(docs, rows):
     got = sorted(fingerprints.edited_likeness(docs).collect(), key=lambda r: (-(2**63) if r["doc_id"] is None else r["doc_id"], r["n_chars"], r["edited"]))
-    order = sorted(((-(2**63) if i is None else i, t or "") for i, t in rows))
+    hashes = {r["text"] or "": r["h"] for r in docs.select("text", F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 33).alias("h")).collect()}
+    order = [(i, t) for i, _, t in sorted((-(2**63) if i is None else i, hashes[t or ""], t or "") for i, t in rows)]
     expected = []
     for k, (i, t) in enumerate(order):
         after = order[(k + 1) % len(order)][1]
@@ -138,7 +144,18 @@ def test_edited_texts_match_brute_force(docs, rows):
         expected.append((i, len(t), edited, fingerprints.fingerprint(t.encode()), fingerprints.fingerprint(edited.encode()), fingerprints.compare(fingerprints.fingerprint(t.encode()), fingerprints.fingerprint(after.encode()))))
     expected.sort(key=lambda r: r[:3])
     found = [(-(2**63) if r["doc_id"] is None else r["doc_id"], r["n_chars"], r["edited"], r["fingerprint"], r["edited_fingerprint"], r["near_next"]) for r in got]
-    assert found == expected
+    assert sorted(found) == sorted(expected)
+
+
+def test_rows_of_one_id_follow_one_another(spark, monkeypatch):
+    monkeypatch.setattr(common, "RANGE_BYTES", 1 << 10)
+    rows = [(None, f"text number {i} of none") for i in range(300)] + [(9, f"nine {i}") for i in range(200)] + [(None, "same")] * 100 + [(i, f"own {i} {'x' * i}") for i in range(60)] + [(3, None), (3, "")]
+    check_edited(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), rows)
+
+
+def test_short_texts_differ():
+    for a, b in (("ab", "xy"), ("ab", "ba"), ("a", "b"), ("", "a"), ("aa", "a")):
+        assert fingerprints.fingerprint(a.encode()) != fingerprints.fingerprint(b.encode())
 
 
 def test_likeness_separates():

@@ -106,3 +106,18 @@ def test_written_shards(docs, tmp_path):
 def test_empty_tables(empty):
     assert packing.pack(empty).count() == 0
     assert sharding.shuffle_into_shards(empty, 8).count() == 0
+
+
+def test_rows_of_one_id_scatter(spark):
+    df = spark.createDataFrame([(None, f"text {i}") for i in range(4000)] + [(1, "x")] * 500, "doc_id long, text string")
+    got = sharding.shuffle_into_shards(df, 8, bucket_bytes=1 << 12).collect()
+    for hot in (None, 1):
+        n = Counter(r["shard"] for r in got if r["doc_id"] == hot)
+        assert len(n) == 8 and max(n.values()) < 1.6 * min(n.values())
+
+
+def test_several_buckets_in_a_partition(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"text {i}" * 9) for i in range(3000)], "doc_id long, text string")
+    one = {(r["doc_id"], r["shard"], r["slot"]) for r in sharding.shuffle_into_shards(df, 3, bucket_bytes=1 << 12).collect()}
+    monkeypatch.setattr(common, "MOST_PARTITIONS", 5)
+    assert one == {(r["doc_id"], r["shard"], r["slot"]) for r in sharding.shuffle_into_shards(df, 3, bucket_bytes=1 << 12).collect()}
