@@ -57,6 +57,18 @@ def long_id(id_col: str) -> Column:
     return F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LEAST_ID))
 
 
+def joined(many: DataFrame, few: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """many joined to few on a key of which few has one row and `weight` says how many rows of many have it, `total` in all.
+
+    Rows of few that stand for over a thousandth of many, of which there are fewer than a thousand, are sent to every
+    task; the others are met by a shuffle in which no key is hot.
+    """
+    limit = max(total // 1000, 100)
+    hot = F.broadcast(few.where(F.col(weight) > limit))
+    rest = many.join(hot.select(key), key, "left_anti").join(few.where(F.col(weight) <= limit), key)
+    return many.join(hot, key).unionByName(rest)
+
+
 def hashed(df: DataFrame) -> Column:
     """A hash of all columns that can be hashed."""
     return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()])

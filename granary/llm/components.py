@@ -7,25 +7,32 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: Into how many parts the edges of one node are dealt.
+SPREAD = 64
+
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
 
 
-def _least(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+def _with_least(edges: DataFrame) -> DataFrame:
+    """edges with m, the least of a and its neighbours. A hub's edges are dealt to SPREAD keys, so no task gets all of them."""
+    salted = edges.withColumn("s", F.pmod(F.xxhash64("b"), F.lit(SPREAD)))
+    parts = salted.groupBy("a", "s").agg(F.min("b").alias("low"))
+    whole = parts.groupBy("a").agg(F.least(F.min("low"), F.col("a")).alias("m"))
+    return salted.join(parts.select("a", "s").join(whole, "a"), ["a", "s"]).drop("s")
 
 
 def _large(edges: DataFrame) -> DataFrame:
     """Every neighbour above a node moves to the least of the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    return both.join(_least(both), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return _with_least(both).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """Every neighbour below a node, and the node, move to the least of them."""
     low = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    moved = low.join(_least(low), "a")
+    moved = _with_least(low)
     up = moved.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
     return up.unionByName(moved.select("a", F.col("m").alias("b")))
 
@@ -33,13 +40,14 @@ def _small(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node and component (its least node) for every node of the edges (a, b). An empty table gives no rows.
 
-    Each round is written to the shared folder. Nothing but two numbers a round reaches the driver; a node with very
-    many edges is aggregated before it is shuffled, and its join is one that Spark can split.
+    Each round is written to the shared folder, and the one before it removed. Nothing but two numbers a round reaches
+    the driver; the edges of a node with very many are dealt to several tasks.
     """
     now = common.stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = _state(now)
     while state[0]:
-        now = common.stored(_small(_large(now)).distinct())
+        before, now = now, common.stored(_small(_large(now)).distinct())
+        common.discard(before)
         if (after := _state(now)) == state:
             break
         state = after

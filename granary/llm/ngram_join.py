@@ -7,9 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import common, words
 from .components import components
@@ -21,10 +20,9 @@ BANDS, ROWS = 25, 5
 #: A pair is dropped when the probability that it reaches the threshold, given the values compared so far, is below this.
 TOLERANCE = 1e-6
 STEP = 25
-#: Distinct sets that are compared with one another in one task; larger candidate groups are split into pairs of blocks.
-BLOCK = 512
-#: Stands for a null id.
-LEAST_ID = -(2**63)
+#: Distinct sets, and bytes of their texts, that are compared with one another in one task; larger candidate groups are
+#: split into pairs of blocks. Of signatures alone, SIGNED are compared in one task.
+BLOCK, BLOCK_BYTES, SIGNED = 512, 16 << 20, 4096
 U = np.uint64
 _rng = np.random.default_rng(5)
 _XOR = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
@@ -99,34 +97,33 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def _features(docs: DataFrame) -> DataFrame:
-    """The set key and the band keys of every document; a text without words has no bands."""
+    """The set key, text bytes and band keys of every document (id, mark, text); a text without words has no bands."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, starts = common.utf8(b.column(1))
+            data, starts = common.utf8(b.column(2))
             for i, j in common.slices(starts, 1 << 20):
                 sets = shingles(data[starts[i] : starts[j]], starts[i : j + 1] - starts[i])
                 keys = band_keys(signatures(sets))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, j - i), pa.array([set_key(s) for s in sets], pa.int64()), pa.array([k if len(s) else [] for k, s in zip(keys.tolist(), sets)], pa.list_(pa.int64()))],
-                    names=["id", "node", "bands"],
-                )
+                own = [pa.array([set_key(s) for s in sets], pa.int64()), pa.array(np.diff(starts[i : j + 1])), pa.array([k if len(s) else [] for k, s in zip(keys.tolist(), sets)], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in (0, 1)), *own], names=["id", "mark", "node", "bytes", "bands"])
 
-    return docs.mapInArrow(work, "id long, node long, bands array<long>")
+    return docs.mapInArrow(work, "id long, mark long, node long, bytes long, bands array<long>")
 
 
-def _keyed(df: DataFrame, text_col: str, name: str) -> DataFrame:
-    """df with the set key of each row's text in a last column of that name."""
-    at = df.columns.index(text_col)
+def _signed(texts: DataFrame) -> DataFrame:
+    """node, and for each of its bands the key and the whole signature, from node and text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, starts = common.utf8(b.column(at))
-            for i, j in common.slices(starts, 1 << 20):
-                keys = [set_key(s) for s in shingles(data[starts[i] : starts[j]], starts[i : j + 1] - starts[i])]
-                yield pa.RecordBatch.from_arrays([*b.slice(i, j - i).columns, pa.array(keys, pa.int64())], names=[*b.schema.names, name])
+            data, starts = common.utf8(b.column(1))
+            for i, j in common.slices(starts, 1 << 18):
+                sig = signatures(shingles(data[starts[i] : starts[j]], starts[i : j + 1] - starts[i]))
+                node = np.repeat(b.column(0).to_numpy()[i:j], BANDS)
+                every = [x for r in sig for x in [r.tobytes()] * BANDS]
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(band_keys(sig).ravel()), pa.array(every, pa.binary())], names=["node", "band", "sig"])
 
-    return df.mapInArrow(work, T.StructType([*df.schema.fields, T.StructField(name, T.LongType())]))
+    return texts.mapInArrow(work, "node long, band long, sig binary")
 
 
 def survivors(a: np.ndarray, b: np.ndarray, same: bool, threshold: float, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
@@ -181,26 +178,66 @@ def _root(parent: list[int], x: int) -> int:
     return x
 
 
+def _roots(n: int, i: np.ndarray, j: np.ndarray) -> list[int]:
+    """For each of n things the least one that the pairs (i, j) join it to."""
+    parent = list(range(n))
+    for p, q in zip(i.tolist(), j.tolist()):
+        p, q = _root(parent, p), _root(parent, q)
+        if p != q:
+            parent[max(p, q)] = min(p, q)
+    return [_root(parent, x) for x in range(n)]
+
+
+def _dealt(rows: DataFrame, group: str) -> DataFrame:
+    """rows (with blocks, the number that its group is split into) once for each pair of blocks that its own is in: low, high, and spot, the pair's key."""
+    block = F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")
+    pairs = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    return pairs.withColumns({"low": low, "high": high}).withColumn("spot", F.xxhash64(group, "low", "high"))
+
+
+def _sides(t: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
+    """The rows of a spot's two blocks, each node once, and whether they are the same block."""
+    block, low, high = (t.column(c).to_numpy() for c in ("block", "low", "high"))
+    own = np.unique(t.column("node").to_numpy(), return_index=True)[1]
+    if low[0] == high[0]:
+        return own, own, True
+    return own[block[own] == low[0]], own[block[own] == high[0]], False
+
+
+def _likely(rows: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+    """(node, root) wherever the Bayesian bound leaves a pair of a spot, by their signatures alone."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, t in common.groups(batches, "spot"):
+            a, b, same = _sides(t)
+            if not len(a) or not len(b):
+                continue
+            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(-1, BANDS * ROWS)
+            pairs = [(a[s : s + BLOCK][i], b[r : r + BLOCK][j]) for s in range(0, len(a), BLOCK) for r in range(s if same else 0, len(b), BLOCK) for i, j in [survivors(sig[a[s : s + BLOCK]], sig[b[r : r + BLOCK]], same and r == s, threshold, tolerance)]]
+            i, j = (np.concatenate(x) for x in zip(*pairs))
+            root = np.array(_roots(t.num_rows, i, j))
+            some = np.unique(np.concatenate([i, j]))
+            node = t.column("node").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(node[root[some]])], names=["node", "root"])
+
+    return rows.mapInArrow(work, "node long, root long")
+
+
 def _verified(rows: DataFrame, threshold: float, tolerance: float) -> DataFrame:
-    """For every group (spot) of candidates: node, a node of the same linked set (root), and the documents linked to it."""
+    """For every pair of blocks (spot) of candidates: node, a node of the same linked set (root), and the documents linked to it."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, t in common.groups(batches, "spot"):
+            a, b, same = _sides(t)
+            if not len(a) or not len(b) or same and len(a) < 2:
+                continue
             data, starts = common.utf8(t.column("text"))
-            node, copies, block, left, right = (t.column(c).to_numpy() for c in ("node", "copies", "block", "low", "high"))
+            node, copies = t.column("node").to_numpy(), t.column("copies").to_numpy()
             sets: list[np.ndarray] = []
             for i, j in common.slices(starts, 1 << 20):
                 sets += shingles(data[starts[i] : starts[j]], starts[i : j + 1] - starts[i])
-            # Rows of one id and one set are one node.
-            own = np.unique(node, return_index=True)[1]
-            if len(own) < 2:
-                continue
             sig = signatures(sets)
-            same = left[0] == right[0]
-            a = own if same else own[block[own] == left[0]]
-            b = own if same else own[block[own] == right[0]]
-            if not len(a) or not len(b):
-                continue
             i, j = survivors(sig[a], sig[b], same, threshold, tolerance)
             i, j = a[i], b[j]
             size = np.array([len(s) for s in sets], np.int64)
@@ -210,13 +247,9 @@ def _verified(rows: DataFrame, threshold: float, tolerance: float) -> DataFrame:
             if not len(i):
                 continue
             links = np.bincount(i, weights=copies[j], minlength=len(sets)) + np.bincount(j, weights=copies[i], minlength=len(sets))
-            parent = list(range(len(sets)))
-            for p, q in zip(i.tolist(), j.tolist()):
-                p, q = _root(parent, p), _root(parent, q)
-                if p != q:
-                    parent[max(p, q)] = min(p, q)
-            some = np.flatnonzero(links).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(node[[_root(parent, x) for x in some]]), pa.array(links[some].astype(np.int64))], names=["node", "root", "links"])
+            some = np.flatnonzero(links)
+            root = np.array(_roots(len(sets), i, j))[some]
+            yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(node[root]), pa.array(links[some].astype(np.int64))], names=["node", "root", "links"])
 
     return rows.mapInArrow(work, "node long, root long, links long")
 
@@ -230,62 +263,99 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     through others; a row alone is its own class, and a class of null ids has a null class_id.
 
     Equal sets become one node, counted before the shuffle. Nodes that share a MinHash band fall into one candidate
-    group; a group's pairs are pruned by the Bayesian bound and verified on the whole texts. A group of over BLOCK
-    nodes is dealt out as pairs of blocks, and a task returns one row for each node at most, so no pair is ever a row.
+    group; a group of over BLOCK nodes or BLOCK_BYTES is first cut down to what pairs of likely signatures, band by band,
+    hold together. A group's pairs are pruned by the Bayesian bound and verified on the whole texts; a large one is dealt
+    out as pairs of blocks, and a task returns one row for each node at most, so no pair is ever a row. One text of each
+    node is fetched by id and a hash of the text, so rows that share an id, or have none, meet their own text alone. An
+    empty table gives no rows; only the id and the text are read, whatever other columns are called.
     """
     features, named = _classes(docs, id_col, text_col, threshold, tolerance)
-    first = named.groupBy("component").agg(F.min("id").alias("class_id"))
-    final = named.join(first, "component").select("node", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"))
-    shown = lambda c: F.nullif(F.col(c), F.lit(LEAST_ID))
-    got = features.select("id", "node").join(final, "node")
+    first = named.groupBy("component").agg(F.min("id").alias("class_id"), F.count("*").alias("nodes"))
+    classed = common.joined(named, first, "component", "nodes", named.count())
+    final = common.stored(classed.select("node", "copies", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links")))
+    shown = lambda c: F.nullif(F.col(c), F.lit(common.LEAST_ID))
+    got = common.joined(features.select("id", "node"), final, "node", "copies", features.count())
     return got.select(shown("id").cast(docs.schema[id_col].dataType).alias(id_col), shown("class_id").alias("class_id"), "n_links")
 
 
+def _narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    return docs.select(common.long_id(id_col).alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
+
+
+def _texts(nodes: DataFrame, rows: DataFrame, features: DataFrame) -> DataFrame:
+    """nodes (id, mark) with the text of each; where rows repeat an id and its text, of one of them."""
+    met = rows.join(nodes, ["id", "mark"])
+    repeated = features.groupBy("id", "mark").agg(F.count("*").alias("n")).where("n > 1").select("id", "mark")
+    if repeated.isEmpty():
+        return met
+    once = met.join(repeated, ["id", "mark"], "left_anti")
+    more = met.join(repeated, ["id", "mark"], "left_semi").groupBy(*[c for c in met.columns if c != "text"]).agg(F.min("text").alias("text"))
+    return once.unionByName(more)
+
+
+def _candidates(nodes: DataFrame, rows: DataFrame, features: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+    """node, component and blocks of every node that may have a link, and into how many blocks its component is split."""
+    total = nodes.count()
+    banded = nodes.select("node", F.explode("bands").alias("band"))
+    least = banded.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1")
+    edges = common.joined(banded, least, "band", "n", BANDS * total).select(F.col("node").alias("a"), F.col("least").alias("b"))
+    grouped = common.stored(_split(components(edges), nodes, total))
+    if grouped.where("blocks > 1").isEmpty():
+        return grouped
+    held = nodes.drop("bands").join(grouped.where("blocks > 1").select("node"), "node").select("id", "mark", "node")
+    signed = _signed(_texts(held, rows, features).select("node", "text"))
+    sizes = banded.join(grouped.where("blocks > 1").select("node"), "node").groupBy("band").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / SIGNED).cast("int"))
+    spots = _dealt(common.joined(signed, sizes, "band", "n", BANDS * total), "band")
+    n = max(common.partitions(nodes.sparkSession), 1)
+    likely = _likely(spots.repartition(n, "spot").sortWithinPartitions("spot").select("spot", "node", "sig", "block", "low", "high"), threshold, tolerance)
+    again = _split(components(likely.select(F.col("node").alias("a"), F.col("root").alias("b"))), nodes, total)
+    return common.stored(grouped.where("blocks = 1").unionByName(again))
+
+
+def _split(grouped: DataFrame, nodes: DataFrame, total: int) -> DataFrame:
+    """node, component, and into how many blocks its component is split by its nodes and their bytes."""
+    own = grouped.join(nodes.select("node", "bytes"), "node")
+    sizes = own.groupBy("component").agg(F.count("*").alias("n"), F.sum("bytes").alias("b"))
+    blocks = sizes.select("component", "n", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("b") / BLOCK_BYTES, F.lit(1.0))).cast("int").alias("blocks"))
+    return common.joined(grouped, blocks, "component", "n", total).select("node", "component", "blocks")
+
+
 def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, tolerance: float) -> tuple[DataFrame, DataFrame]:
-    """Each row's id and node (set key), and each node's least id, copies, class (component, a node of it) and links. A null id is LEAST_ID."""
+    """Each row's id, mark and node (set key), and each node's least id, mark, copies, class (component, a node of it) and links."""
     spark = docs.sparkSession
     common.ship(spark)
-    narrow = docs.select(_long_id(id_col).alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    features = common.stored(_features(narrow))
-    nodes = common.stored(features.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("bands").alias("bands")))
-    banded = nodes.select("node", F.explode("bands").alias("band"))
-    least_node = banded.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    grouped = components(banded.join(least_node, "band").select(F.col("node").alias("a"), F.col("least").alias("b")))
-    sizes = grouped.groupBy("component").agg(F.count("*").alias("size"))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    members = grouped.join(sizes, "component").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
-    chosen = members.join(nodes.drop("bands"), "node")
-    dealt = chosen.join(_keyed(narrow, "text", "node"), ["id", "node"]).select("node", "copies", "component", "block", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    low, high = F.least("block", "other"), F.greatest("block", "other")
-    spots = dealt.select("node", "copies", "block", low.alias("low"), high.alias("high"), "text", F.xxhash64("component", low, high).alias("spot"))
+    rows = _narrow(docs, id_col, text_col)
+    features = common.stored(_features(rows))
+    nodes = common.stored(features.groupBy("node").agg(F.min(F.struct("id", "mark")).alias("k"), F.count("*").alias("copies"), F.first("bytes").alias("bytes"), F.first("bands").alias("bands")).select("node", "k.id", "k.mark", "copies", "bytes", "bands"))
+    members = _candidates(nodes, rows, features, threshold, tolerance)
+    chosen = members.join(nodes.select("node", "id", "mark", "copies"), "node")
+    spots = _dealt(_texts(chosen, rows, features), "component").select("spot", "node", "copies", "block", "low", "high", "text")
     n = max(common.partitions(spark), 1)
     found = common.stored(_verified(spots.repartition(n, "spot").sortWithinPartitions("spot"), threshold, tolerance))
     classes = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    named = nodes.select("node", "id", "copies").join(classes, "node", "left").join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    return features, named
-
-
-def _long_id(id_col: str) -> Column:
-    return F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LEAST_ID))
+    named = nodes.select("node", "id", "mark", "copies").join(classes, "node", "left").join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return features.select("id", "mark", "node"), common.stored(named)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each class of near duplicates, that of the least id; all columns kept.
 
     Classes are of texts, so rows that share an id, or have none, and whose texts are unlike all stay. Where several
-    texts of a class have its least id, that of the least set key stays; of rows that share that too, the least by a
-    hash of the row. A null id is the least of all.
+    texts of a class have its least id, that of the least set key stays, then the least by a hash of the text; of rows
+    that share that too, the least by a hash of the row. A null id is the least of all. Texts without words (null, empty)
+    are one class. An empty table gives no rows.
     """
-    key, node, again, row = (common.free_name(docs, n) for n in ("_id", "_node", "_again", "_row"))
+    key, mark, again, row = (common.free_name(docs, n) for n in ("_id", "_mark", "_again", "_row"))
     features, named = _classes(docs, id_col, text_col, THRESHOLD, TOLERANCE)
-    chosen = named.groupBy("component").agg(F.min(F.struct("id", "node")).alias("k")).select("k.id", "k.node")
-    counts = features.groupBy("id", "node").agg(F.count("*").alias("n"))
-    kept = common.stored(chosen.join(counts, ["id", "node"]).select(F.col("id").alias(key), F.col("node").alias(node), (F.col("n") > 1).alias(again)))
+    chosen = named.groupBy("component").agg(F.min(F.struct("id", "node", "mark")).alias("k")).select("k.id", "k.mark")
+    counts = features.groupBy("id", "mark").agg(F.count("*").alias("n"))
+    kept = common.stored(chosen.join(counts, ["id", "mark"]).select(F.col("id").alias(key), F.col("mark").alias(mark), (F.col("n") > 1).alias(again)))
     own = [F.col(f"`{c}`") for c in docs.columns]
-    rows = _keyed(docs, text_col, node).withColumn(key, _long_id(id_col)).join(kept, [key, node])
+    marked = docs.withColumn(key, common.long_id(id_col)).withColumn(mark, F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
+    rows = marked.join(kept, [key, mark])
     if kept.where(F.col(again)).isEmpty():
         return rows.select(*own)
-    hashed = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and f.dataType.typeName() != "variant"])
-    least = rows.where(F.col(again)).groupBy(key, node).agg(F.min_by(F.struct(*own), hashed).alias(row)).select(f"{row}.*")
+    least = rows.where(F.col(again)).groupBy(key, mark).agg(F.min_by(F.struct(*own), common.hashed(docs)).alias(row)).select(f"{row}.*")
     return rows.where(~F.col(again)).select(*own).unionByName(least)

@@ -147,3 +147,47 @@ def test_one_id_spreads_over_ranges(spark, monkeypatch):
     assert len(whole) == len(rows) and sum(r["n_removed"] == 0 for r in lines) < len(rows)
     once = Counter(tuple(t.split("\n")[k : k + 3]) for _, t in whole for k in range(len(t.split("\n")) - 2) if any(x.strip() for x in t.split("\n")[k : k + 3]))
     assert all(n == 1 for n in once.values())
+
+
+def test_join_of_rows_without_an_id(spark, monkeypatch):
+    """Near-alike rows that share the null id, and repeats of one row: every text is fetched once, links as by brute force."""
+    rng = random.Random(21)
+    base = [prose(rng, 80).split() for _ in range(3)]
+    rows = []
+    for k in range(150):
+        w = list(base[k % 3])
+        w[rng.randrange(80)] = f"e{k}"
+        rows.append((None, " ".join(w)))
+    rows += [(None, rows[0][1])] * 20 + [(5, rows[1][1])] * 7 + [(None, None)] * 9
+    sets = [shingle_set(t) for _, t in rows]
+    links = Counter(sum(1 for j, b in enumerate(sets) if j != i and (a == b or len(a & b) >= 0.8 * len(a | b))) for i, a in enumerate(sets))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    fetched = []
+    monkeypatch.setattr(ngram_join, "_texts", lambda nodes, r, f, real=ngram_join._texts: (fetched.append(real(nodes, r, f)), fetched[-1])[1])
+    for signed, block in ((4096, 512), (7, 16)):
+        monkeypatch.setattr(ngram_join, "SIGNED", signed)
+        monkeypatch.setattr(ngram_join, "BLOCK", block)
+        assert Counter(r["n_links"] for r in ngram_join.link(df).collect()) == links
+    assert all(t.count() == t.select("node").distinct().count() == 150 for t in fetched)
+
+
+def test_chained_groups_come_apart(spark, monkeypatch):
+    """A group of unlike texts that chance bands chain together is cut down to its likely pairs before texts are compared."""
+    rng = random.Random(5)
+    base = [prose(rng, 60) for _ in range(40)]
+    rows = [(i, t) for i, t in enumerate(base)] + [(100 + i, t + " tail") for i, t in enumerate(base)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    calls = []
+
+    def chained(edges):
+        calls.append(edges)
+        return components(edges.unionByName(edges.select("a", F.lit(0).cast("long").alias("b"))).unionByName(edges.select(F.col("b").alias("a"), F.lit(0).cast("long").alias("b")))) if len(calls) == 1 else components(edges)
+
+    splits = []
+    split = ngram_join._split
+    monkeypatch.setattr(ngram_join, "components", chained)
+    monkeypatch.setattr(ngram_join, "_split", lambda *a: (splits.append(split(*a)), splits[-1])[1])
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.link(df).collect()}
+    assert got == {i: (i % 100, 1) for i, _ in rows}
+    assert splits[0].where("blocks > 1").count() >= 80 and splits[1].where("blocks > 1").count() == 0
