@@ -21,6 +21,8 @@ END_ID = 2
 PIECE = 1024
 #: Windows that are packed together; more give less padding and cost more merges.
 WINDOWS = 192
+#: Text bytes of a task at least: its last windows are not full, so input partitions of less are read together.
+TASK_BYTES = 2 << 20
 
 
 def vocabulary() -> str:
@@ -97,9 +99,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
 
     A document's ids are its tokens without special ones, then end_id; a null or empty text is end_id alone. Ids beyond
     whole sequences are cut into pieces of at most `piece` and dealt to windows of `capacity` by differencing, `group`
-    windows at a time within a partition of the input. Nothing is shuffled; the order of a partition's rows decides,
-    so the input must be a stored table. sequence_id is unique, not gapless. Rows of one id are packed each by itself,
-    null ids too; an empty table gives no rows. Other columns are not carried.
+    windows at a time within a task. Nothing is shuffled; input partitions are joined into tasks of TASK_BYTES or more,
+    so what their last windows lack is a percent or two however many files there are. The order of a partition's rows
+    decides, so the input must be a stored table. sequence_id is unique, not gapless. Rows of one id are packed each by
+    itself, null ids too; a very long text fills sequences of its own; an empty table gives no rows. Other columns are
+    not carried, whatever they are called.
     """
     common.ship(docs.sparkSession)
     path = path or vocabulary()
@@ -158,4 +162,5 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
         if held:
             yield flush(held)
 
-    return docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(work, schema)
+    rows = docs.select(F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"))
+    return rows.coalesce(max(1, common.text_bytes(rows, "_text") // TASK_BYTES)).mapInArrow(work, schema)

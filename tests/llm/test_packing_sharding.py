@@ -121,3 +121,14 @@ def test_several_buckets_in_a_partition(spark, monkeypatch):
     one = {(r["doc_id"], r["shard"], r["slot"]) for r in sharding.shuffle_into_shards(df, 3, bucket_bytes=1 << 12).collect()}
     monkeypatch.setattr(common, "MOST_PARTITIONS", 5)
     assert one == {(r["doc_id"], r["shard"], r["slot"]) for r in sharding.shuffle_into_shards(df, 3, bucket_bytes=1 << 12).collect()}
+
+
+def test_many_small_partitions_pack_as_one(spark):
+    from .conftest import prose
+    import random
+
+    rng = random.Random(8)
+    df = spark.createDataFrame([(i, prose(rng, rng.randrange(20, 1500))) for i in range(900)], "doc_id long, text string")
+    for n in (1, 200):
+        got = packing.pack(df.repartition(n)).groupBy("sequence_id").sum("length").collect()
+        assert sum(r[1] for r in got) / (4096 * len(got)) > 0.97
