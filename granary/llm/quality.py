@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from . import common, line_dedup, words
 
-#: The most labelled rows that the model is fitted on; a hash of the id chooses them.
+#: The most labelled rows that the model is fitted on, exactly; a hash of the id chooses them.
 TRAINING_ROWS = 20_000
 #: A document is predicted good from this score on.
 ACCEPT = 0.3
@@ -209,21 +209,29 @@ def held_out(id_col: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = TRAINING_ROWS) -> Model:
-    """The model of labelled documents that are not held out, of about `most` rows by a hash of the id.
+    """The model of labelled documents that are not held out, of `most` rows at most, the least by a hash of the id.
 
-    The chosen ids and labels (bounded by `most`) are sent to the documents; their features alone reach the driver.
+    The chosen ids and labels (bounded by `most`) are sent to the documents; their features alone reach the driver. An id
+    with several labels has the largest, one with several texts that of the least hash, so an id is one row. Null ids
+    and labels teach nothing, a null text is empty, and without rows every score is one half.
     """
     common.ship(docs.sparkSession)
-    open_ = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).groupBy("id").agg(F.max("label").alias("label"))
-    n = open_.count()
-    chosen = open_.where(F.pmod(F.xxhash64("id", F.lit(9)), F.lit(1 << 20)) < math.floor((1 << 20) * min(1.0, most / max(n, 1))))
+    own, mark = F.col(f"`{id_col}`"), F.col(f"`{label_col}`")
+    open_ = labels.where(mark.isNotNull() & own.isNotNull() & ~held_out(own)).select(own.cast("long").alias("id"), mark.cast("int").alias("label")).groupBy("id").agg(F.max("label").alias("label"))
+    n, chance = open_.count(), F.xxhash64("id", F.lit(9))
+    # A share of a fifth too many, so that what is then sorted is bounded, and of these the least `most`.
+    some = open_.where(F.pmod(chance, F.lit(1 << 20)) < math.ceil((1 << 20) * min(1.0, 1.2 * most / max(n, 1))))
+    chosen = some.orderBy(F.pmod(chance, F.lit(1 << 20)), "id").limit(most)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for x, i, j in _featured(b, 2):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(list(map(bytes, x)), pa.binary())], names=["id", "label", "x"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "id").select("id", "label", "text").mapInArrow(work, "id long, label int, x binary").collect()
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    met = docs.select(own.cast("long").alias("id"), text.alias("text")).join(F.broadcast(chosen), "id")
+    one = met.groupBy("id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = one.mapInArrow(work, "id long, label int, x binary").collect()
     rows.sort()
     x = np.array([np.frombuffer(r[2], np.float64) for r in rows]).reshape(-1, len(FEATURES))
     return fit_model(x, np.array([r[1] for r in rows], np.float64))
