@@ -20,25 +20,23 @@ THRESHOLD = 0.8
 #: Fingerprints have 64 bits in 4 blocks of 16. Two within RADIUS differ by at most RADIUS // 4 bits in some block.
 BLOCKS, RADIUS = 4, 11
 #: Documents are windowed at every STRIDE-th word. An item has a fingerprint for each offset that its window size leaves,
-#: STRIDE at least, so one always meets; twice as many where it is long enough, for passages cut at an edge.
+#: STRIDE at least, so one always meets.
 STRIDE = 4
 #: Items of fewer words are windowed whole, at every word.
 SHORT = 12
-#: The most items that one pass over the documents looks for; their index is sent to every task. More items take more passes.
-ITEMS_A_PASS = 20_000
+#: The most items, about, and bytes of their texts, that one pass over the documents looks for; their index, of some 10 kB
+#: an item, is sent to every task. More items take more passes.
+ITEMS_A_PASS, BYTES_A_PASS = 20_000, 32 << 20
 U = np.uint64
 
 
 def window_size(m: int) -> tuple[int, int]:
-    """The window size for an item of m words, and the stride. Sizes are one above a multiple of STRIDE, in steps of
-    about an eighth, so that windows begin and end at every STRIDE-th word."""
+    """The window size for an item of m words, and the stride: the item's own, less the words that make windows begin and
+    end at every STRIDE-th word, three to six of them; items of over 255 words share sizes in steps of a 32nd."""
     if m < SHORT:
         return m, 1
-    most = m - (2 * STRIDE - 1 if m >= 2 * SHORT else STRIDE - 1)
-    size = 2 * STRIDE + 1
-    while (up := size + max(STRIDE, size // 8 // STRIDE * STRIDE)) <= most:
-        size = up
-    return size, STRIDE
+    unit = STRIDE * max(1, m // 128)
+    return 1 + (m - STRIDE) // unit * unit, STRIDE
 
 
 def near(block: int, radius: int) -> list[int]:
@@ -76,9 +74,9 @@ def prints(h: np.ndarray, total: np.ndarray, size: int, stride: int) -> np.ndarr
 
 
 class Index:
-    """Fingerprints of items by window size and block. Bounded by ITEMS_A_PASS items."""
+    """Fingerprints of items by window size and block. Bounded by ITEMS_A_PASS items of BYTES_A_PASS."""
 
-    def __init__(self, items: list[tuple[int, str]], weights: dict[int, float], rare: float, threshold: float) -> None:
+    def __init__(self, items: list[tuple], weights: dict[int, float], rare: float, threshold: float) -> None:
         self.threshold, self.rare = threshold, rare
         self.ids = [i for i, _ in items]
         self.length: list[int] = []
@@ -101,15 +99,11 @@ class Index:
         for key, rows in sorted(found.items()):
             f, item, offset = (np.array(c, kind) for c, kind in zip(zip(*rows), (np.uint64, np.int64, np.int64)))
             tables = []
+            masks = np.array(near(0, RADIUS // BLOCKS), np.uint16)
             for b in range(BLOCKS):
-                lists: dict[int, list[int]] = {}
-                for n, value in enumerate((f >> U(16 * b) & U(0xFFFF)).tolist()):
-                    for v in near(value, RADIUS // BLOCKS):
-                        lists.setdefault(v, []).append(n)
-                count = np.zeros(65536, np.int32)
-                for v, members in lists.items():
-                    count[v] = len(members)
-                flat = np.array([n for v in sorted(lists) for n in lists[v]], np.int32)
+                every = ((f >> U(16 * b)).astype(np.uint16)[:, None] ^ masks).ravel()
+                count = np.bincount(every, minlength=65536).astype(np.int32)
+                flat = (np.argsort(every, kind="stable") // len(masks)).astype(np.int32)
                 tables.append((count, np.cumsum(count) - count, flat))
             self.sizes[key] = (f, item, offset, tables)
         self._keep_rare()
@@ -153,9 +147,9 @@ class Index:
         which = np.arange(len(spread)) - np.repeat(np.cumsum(c) - c, c) + self.rare_first[place][spread]
         return self.rare_item[which], at[spread] - self.rare_at[which], row[at[spread]]
 
-    def candidates(self, h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(item, first word of its window) of every window within RADIUS of one of the item's fingerprints."""
-        items, begins = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    def candidates(self, h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(item, where it would begin, row) of every window within RADIUS of one of the item's fingerprints."""
+        items, begins, rows = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         totals = {stride: ones(h, stride) for stride in {s for _, s in self.sizes}} if len(h) else {}
         for (size, stride), (f, item, offset, tables) in self.sizes.items():
             n = len(h) - size + 1
@@ -175,11 +169,8 @@ class Index:
                 which, spread = which[near_by], spread[near_by]
                 items.append(item[which])
                 begins.append(at[hit[spread]] - offset[which])
-        items, begins = np.concatenate(items), np.concatenate(begins)
-        if len(items):
-            both = np.unique(np.stack([items, begins]), axis=1)
-            items, begins = both[0], both[1]
-        return items, begins
+                rows.append(row[at[hit[spread]]])
+        return np.concatenate(items), np.concatenate(begins), np.concatenate(rows)
 
     def similarity(self, item: int, window: np.ndarray) -> float:
         """Weighted Jaccard similarity of the shingle sets of an item and of a window of words."""
@@ -210,9 +201,8 @@ class Index:
     def matches(self, data: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int, int, float]]:
         """(row, item, first word, words, similarity): the best window for each row and item that reaches the threshold."""
         h, row = hashed(data, starts)
-        items, begins = self.candidates(h, row)
         row_begin = np.searchsorted(row, np.arange(len(starts)))
-        tried = {(k, s, r) for k, s in zip(items.tolist(), begins.tolist()) for r in (int(row[max(s, 0)]), int(row[min(max(s + 2 * STRIDE, 0), len(row) - 1)]))}
+        tried = set(zip(*(x.tolist() for x in self.candidates(h, row))))
         tried.update(zip(*(x.tolist() for x in self.sharing(h, row))))
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
         for k, s, r in sorted(tried):
@@ -256,32 +246,40 @@ def shingle_weights(items: DataFrame, id_col: str, text_col: str) -> tuple[DataF
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """A row for each document and benchmark item it holds: doc id, item id, start and n_words of the best window, similarity.
 
-    Windows of an item's size (in steps of an eighth) over every whole text are fingerprinted by SimHash of their word
-    pairs. Every window within RADIUS bits of an item's is found, and so is every place that has one of an item's rarest
-    shingles, of which a passage that reaches the threshold has one wherever it begins or is cut. Then the item-sized window
-    there, from its first shingle of the item to its last, is verified by the weighted Jaccard similarity of five-word
-    shingles. Case of ASCII letters doesn't count. Null or empty texts hold
-    nothing and are held by nothing; an item of fewer than five words is one shingle. Rows of one id give rows each.
-    Items are looked for ITEMS_A_PASS at a time, which bounds the index that is sent out; documents are never shuffled.
+    Windows of an item's size over every whole text are fingerprinted by SimHash of their word pairs. Every window within
+    RADIUS bits of an item's is found, and so is every place that has one of an item's rarest shingles, of which a
+    passage that reaches the threshold has one wherever it begins or is cut. Then the item-sized window there, from its
+    first shingle of the item to its last, is verified by the weighted Jaccard similarity of five-word shingles. Case of
+    ASCII letters doesn't count. Null or empty texts hold nothing and are held by nothing; an item of fewer than five
+    words is one shingle. Rows of one id give rows each, repeated items a row each; an empty table on either side gives no
+    rows. The columns are called after id_col and item_col, with an underscore more where these are the same. Items are
+    looked for ITEMS_A_PASS at a time, which bounds the index that is sent out; documents are never shuffled.
     """
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("item_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("similarity", T.DoubleType())])
-    rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    name = item_col + "_" * (item_col.lower() == id_col.lower())
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField(name, benchmark.schema[item_col].dataType), T.StructField("start", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("similarity", T.DoubleType())])
+    rows = docs.select(F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"))
     out = None
     for index in indexes(benchmark, item_col, item_text, threshold):
-        got = rows.mapInArrow(_searcher(index, id_col), schema)
+        got = rows.mapInArrow(_searcher(index, schema), schema)
         out = got if out is None else out.unionByName(got)
     return out
 
 
+def passes(benchmark: DataFrame, item_text: str) -> int:
+    n, size = benchmark.agg(F.count("*"), F.sum(F.octet_length(F.col(f"`{item_text}`")).cast("long"))).first()
+    return max(1, math.ceil(n / ITEMS_A_PASS), math.ceil((size or 0) / BYTES_A_PASS))
+
+
 def indexes(benchmark: DataFrame, item_col: str, item_text: str, threshold: float) -> Iterator:
-    """The index of every ITEMS_A_PASS items or so, sent to the executors; weights count over the whole benchmark."""
+    """The index of each pass, sent to the executors; weights count over the whole benchmark."""
     spark = benchmark.sparkSession
     common.ship(spark)
-    weights, rare = shingle_weights(benchmark, item_col, item_text)
-    parts = max(1, math.ceil(benchmark.count() / ITEMS_A_PASS))
-    place = F.pmod(F.xxhash64(item_col, item_text), F.lit(parts))
+    bench = benchmark.select(F.col(f"`{item_col}`").alias("item"), F.col(f"`{item_text}`").alias("text"))
+    weights, rare = shingle_weights(bench, "item", "text")
+    parts = passes(bench, "text")
+    place = F.pmod(F.xxhash64("item", "text"), F.lit(parts))
     for part in range(parts):
-        items = [(r[0], r[1]) for r in benchmark.where(place == part).select(F.col(item_col).cast("long"), item_text).collect()]
+        items = [tuple(r) for r in bench.where(place == part).collect()]
         mine = shingle_table(spark, items)
         yield spark.sparkContext.broadcast(Index(items, {g % 2**64: w for g, w in weights.join(mine, "gram", "left_semi").collect()}, rare, threshold))
 
@@ -293,7 +291,11 @@ def shingle_table(spark, items: list[tuple[int, str]]) -> DataFrame:
     return spark.createDataFrame([(g,) for g in sorted(grams_of)], "gram long")
 
 
-def _searcher(index, id_col: str):
+def _searcher(index, schema: T.StructType):
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kinds = to_arrow_schema(schema)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = index.value
         for b in batches:
@@ -301,18 +303,25 @@ def _searcher(index, id_col: str):
             rows: list[tuple] = []
             for i, j in common.slices(starts, 1 << 18):
                 rows += [(i + r, found.ids[k], s, n, sim) for r, k, s, n, sim in found.matches(data[starts[i] : starts[j]], starts[i : j + 1] - starts[i])]
-            r, item, s, n, sim = zip(*rows) if rows else ((),) * 5
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(r, pa.int64())), pa.array(item, pa.int64()), pa.array(s, pa.int64()), pa.array(n, pa.int64()), pa.array(sim, pa.float64())], names=[id_col, "item_id", "start", "n_words", "similarity"])
+            r, *rest = zip(*rows) if rows else ((),) * 5
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(r, pa.int64())), *(pa.array(x, kinds.field(k + 1).type) for k, x in enumerate(rest))], names=kinds.names)
 
     return work
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the rows that hold a benchmark item, all columns kept. Each row is judged by itself; nothing is shuffled."""
-    at = docs.columns.index(text_col)
+    """docs without the rows that hold a benchmark item, all columns kept, whatever they are called.
+
+    Each row is judged by itself, as by `contaminated`; nothing is shuffled. Null and empty texts stay, rows of one id
+    are judged each, an empty benchmark leaves all. Where the items take several passes, what each leaves is stored, so
+    that a task holds one index at a time.
+    """
+    at, more = docs.columns.index(text_col), passes(benchmark, item_text)
     out = docs
-    for index in indexes(benchmark, item_col, item_text, threshold):
+    for k, index in enumerate(indexes(benchmark, item_col, item_text, threshold)):
         out = out.mapInArrow(_keeper(index, at), docs.schema)
+        if k + 1 < more:
+            out = common.stored(out)
     return out
 
 

@@ -85,6 +85,67 @@ def test_blocks_find_all_within_radius():
         assert any((g >> 16 * b & 0xFFFF) in set(decontamination.near(f >> 16 * b & 0xFFFF, decontamination.RADIUS // decontamination.BLOCKS)) for b in range(decontamination.BLOCKS))
 
 
+def brute_similarity(a, b, weights, rare):
+    x, y = words5(a), words5(b)
+    of = lambda s: sum(weights.get(g, rare) for g in s)
+    return of(x & y) / of(x | y)
+
+
+def test_every_passage_that_reaches_the_threshold(spark, bench):
+    """Brute force over every part of every text: what is found is what some part of the text, trimmed or not, makes of it."""
+    import math
+
+    table, items = bench
+    rng = random.Random(31)
+    items = [(i, t) for i, t in items if t and 5 <= len(t.split()) <= 45]
+    count = {}
+    for _, t in items:
+        for g in words5(t.split()):
+            count[g] = count.get(g, 0) + 1
+    weights, rare = {g: 1 + math.log((len(items) + 1) / (n + 1)) for g, n in count.items()}, 1 + math.log(len(items) + 1)
+    rows = []
+    for k in range(90):
+        w = items[k % len(items)][1].split()
+        for _ in range(rng.randrange(0, 3)):
+            w[rng.randrange(len(w))] = "edited"
+        cut = rng.randrange(0, 4)
+        rows.append((k, " ".join(prose(rng, rng.randrange(1, 12)).split() + w[cut:] + prose(rng, rng.randrange(1, 12)).split())))
+    got = {(r["doc_id"], r["item_id"]): r for r in decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    for k, text in rows:
+        w = text.split()
+        for i, item in items:
+            own = item.split()
+            m = len(own)
+            best = max((brute_similarity(w[s : s + n], own, weights, rare) for n in range(max(5, m - m // 4), m + 1) for s in range(len(w) - n + 1)), default=0)
+            if best >= 0.8 + 1e-9:
+                assert (k, i) in got and got[k, i]["similarity"] <= best + 1e-9
+            elif (k, i) in got:
+                raise AssertionError((k, i, best, got[k, i]))
+
+
+def test_item_ids_of_any_type_and_clashing_names(spark):
+    text = " ".join(f"q{i}" for i in range(30))
+    docs = spark.createDataFrame([("a", "x " + text, 1), ("b", None, 2)], "item_id string, text string, start int")
+    bench = spark.createDataFrame([("one", text), ("two", None)], "item_id string, text string")
+    got = decontamination.contaminated(docs, bench, id_col="item_id")
+    assert [(r["item_id"], r["item_id_"]) for r in got.collect()] == [("a", "one")]
+    assert [r["item_id"] for r in decontamination.clean(docs, bench).collect()] == ["b"]
+
+
+def test_repeated_ids_are_one_row_of_training(spark):
+    docs = spark.createDataFrame([(i % 3, f"text {i} of some words") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(3)] * 5, "doc_id long, quality int")
+    seen = []
+    real = quality.fit_model
+    quality.fit_model = lambda x, y: (seen.append(len(y)), real(x, y))[1]
+    try:
+        quality.fit(docs, labels)
+        quality.fit(spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text")), spark.range(4000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality")), most=500)
+    finally:
+        quality.fit_model = real
+    assert seen[0] <= 3 and seen[1] == 500
+
+
 def test_clean_keeps_the_rest(docs, bench, empty):
     table, _ = bench
     assert decontamination.clean(docs, table.where("item_id > 3")).count() == docs.count()
