@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -14,17 +15,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common, words
+from .tokens import _LOWER
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents whose tokens the field is fitted on, about; they are labelled by the patterns.
-SAMPLE = 4000
+#: Documents that the field is fitted on at most, of different texts, and the tokens of each that count.
+SAMPLE, SAMPLE_TOKENS = 4000, 2000
 #: A token is labelled where its marginal probability reaches this.
 SURE = 0.65
+#: How many of the texts' own tokens the field is fitted on for each value added to them, about.
+OWN_SHARE = 3
 #: Messages have settled when none changes by this much. A field of attracting pairs settles in a few rounds; after UNDAMPED
 #: rounds messages are damped, and ROUNDS only ends what would oscillate for ever.
 SETTLED, UNDAMPED, ROUNDS = 1e-5, 20, 1000
-#: By what the fitted skip weights are multiplied: few repeats differ from what the patterns find, so the fit underrates them.
-SKIP_WEIGHT = 2.0
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -77,13 +79,15 @@ def written(spans: list[list[tuple[int, int]]]) -> str:
 
 
 class Tokens(NamedTuple):
-    """The white-space words of one text that hold a digit or an at-sign; all other words are outside any entity."""
+    """The white-space words of one text that hold a digit, an at-sign or the local part of an email found in it; all other
+    words are outside any entity."""
 
     first: np.ndarray  # code points
     last: np.ndarray
     number: np.ndarray  # of the word in its text
     spelled: list[str]
     before: list[str]  # the word before, in lower case
+    keys: list[set[str]]  # what repeats and similar tokens share
 
 
 FEATURES = ("bias", "at", "dot_after_at", "plus", "dots3", "dash", "paren", "letters", "digits_1_4", "digits_5_8", "digits_9_12", "digits_13_19", "digits_20", "luhn", "all_digits", "octets", "hex", "colon", "cue_phone", "cue_mail", "cue_card", "cue_ip", "near_before", "near_after")
@@ -109,23 +113,32 @@ def features(t: Tokens) -> np.ndarray:
     return out
 
 
+def canonical(w: str) -> str:
+    return re.sub(r"[^0-9a-z]+", "-", w.lower()).strip("-")
+
+
 def likeness(w: str) -> set[str]:
-    """What tokens that repeat or resemble a word share with it."""
+    """What tokens that repeat or resemble a word, or a span of words, share with it: letters and digits but for the signs
+    between them, and the last seven digits."""
     digits = re.sub(r"[^0-9]", "", w)
-    return {"=" + w.strip(_EDGE).lower()} | ({"~" + digits[-7:]} if len(digits) >= 7 else set())
+    return {"=" + canonical(w)} | ({"~" + digits[-7:]} if len(digits) >= 7 else set())
+
+
+def local_parts(text: str, emails_: list[tuple[int, int]]) -> set[str]:
+    """The local parts of emails that no plain word is likely to be: six signs or more, not all of them letters."""
+    return {p for s, e in emails_ if len(p := text[s:e].partition("@")[0].lower()) >= 6 and not p.isalpha()}
 
 
 def edges(t: Tokens) -> tuple[np.ndarray, np.ndarray]:
-    """Chain edges between neighbouring words, and skip edges from each token to the next that repeats or resembles it.
+    """Chain edges between neighbouring words, and skip edges from each token to the next that shares a key with it.
 
-    Tokens are alike that are equal but for case and outer signs, or end in the same seven digits. Each links to the
-    next one only, so there are at most two skip edges for each token, however often it repeats.
+    Each links to the next one only, so there are few skip edges for each token, however often it repeats.
     """
     chain = np.flatnonzero(np.diff(t.number) == 1)
     skip: set[tuple[int, int]] = set()
     seen: dict[str, int] = {}
-    for i, w in enumerate(t.spelled):
-        for key in likeness(w):
+    for i, own in enumerate(t.keys):
+        for key in own:
             if key in seen:
                 skip.add((seen[key], i))
             seen[key] = i
@@ -138,12 +151,11 @@ def anchored(t: Tokens, base: np.ndarray, skip: np.ndarray) -> np.ndarray:
     found = {(a, b) for a, b in skip.tolist()}
     if not base.any():
         return skip
-    own = [likeness(w) for w in t.spelled]
     missing = set()
-    for order in (range(len(own)), range(len(own) - 1, -1, -1)):
+    for order in (range(len(base)), range(len(base) - 1, -1, -1)):
         seen: dict[str, int] = {}
         for i in order:
-            for key in own[i]:
+            for key in t.keys[i]:
                 if base[i]:
                     seen[key] = i
                 elif key in seen and (order.step > 0 or (i, key) in missing):
@@ -153,15 +165,33 @@ def anchored(t: Tokens, base: np.ndarray, skip: np.ndarray) -> np.ndarray:
     return np.array(sorted(found), np.int64).reshape(-1, 2)
 
 
-def tokens_of(text: str, data: np.ndarray, first: np.ndarray, last: np.ndarray, marked: np.ndarray) -> Tokens:
-    """The marked words of a text from the byte spans of all its words."""
+def tokens_of(text: str, spans: list[list[tuple[int, int]]], data: np.ndarray, first: np.ndarray, last: np.ndarray, marked: np.ndarray) -> Tokens:
+    """The marked words of a text from the byte spans of all its words, and those that hold a local part of its emails."""
     points = np.zeros(len(data) + 1, np.int64)
     np.cumsum((data & 0xC0) != 0x80, out=points[1:])
+    locals_ = local_parts(text, spans[0])
+    if locals_:
+        marked, low = marked.copy(), _LOWER[data].tobytes()
+        for p in locals_:
+            at = low.find(p.encode())
+            while at >= 0:
+                marked[np.searchsorted(last, at, side="right")] = True
+                at = low.find(p.encode(), at + len(p))
     at = np.flatnonzero(marked)
     s, e = points[first[at]], points[last[at]]
     b = np.maximum(at - 1, 0)
     before = [text[x:y].lower() if i else "" for i, x, y in zip(at.tolist(), points[first[b]].tolist(), points[last[b]].tolist())]
-    return Tokens(s, e, at, [text[x:y] for x, y in zip(s.tolist(), e.tolist())], before)
+    spelled = [text[x:y] for x, y in zip(s.tolist(), e.tolist())]
+    keys = [likeness(w) | {"@" + p for p in locals_ if p in w.lower()} for w in spelled]
+    # A span of several words is known by all of it, at its last word; its parts alone are no repeats of it.
+    for k, own in enumerate(spans):
+        for x, y in own:
+            i, j = int(np.searchsorted(e, x, side="right")), int(np.searchsorted(s, y, side="left"))
+            if j > i:
+                for n in range(i, j):
+                    keys[n] = set() if j > i + 1 else keys[n]
+                keys[j - 1] = keys[j - 1] | likeness(text[x:y])
+    return Tokens(s, e, at, spelled, before, keys)
 
 
 def labels_of(t: Tokens, spans: list[list[tuple[int, int]]]) -> np.ndarray:
@@ -181,13 +211,13 @@ class Field(NamedTuple):
     skip: np.ndarray
 
 
-def fit(x: np.ndarray, y: np.ndarray, chain: np.ndarray, skip: np.ndarray, steps: int = 600, decay: float = 1e-4) -> Field:
-    """Maximum pseudo-likelihood by gradient ascent with momentum: each label given its features and its neighbours' labels.
+def fit(x: np.ndarray, y: np.ndarray, chain: np.ndarray, skip: np.ndarray, use: np.ndarray, steps: int = 600, decay: float = 1e-4) -> Field:
+    """Maximum pseudo-likelihood by gradient ascent with momentum: labels given their features and their neighbours' labels.
 
-    Every token counts twice, once with its features hidden: what the patterns label shows in the features already, and
-    only where those are hidden must the pair weights explain a label by its repeats.
+    use says which labels are learned: 2 for values added to the texts, 1 for the texts' own tokens, of which an even share
+    of OWN_SHARE times as many is taken, 0 for what is observed or unknown. All kinds share the skip weights: one for two tokens of one kind, of two kinds, of a kind and none, of none and none.
     """
-    size = len(KINDS) + 1
+    size, f = len(KINDS) + 1, x.shape[1]
     beside = []
     for e in (chain, skip):
         n = np.zeros((len(x), size), np.float32)
@@ -195,10 +225,16 @@ def fit(x: np.ndarray, y: np.ndarray, chain: np.ndarray, skip: np.ndarray, steps
             np.add.at(n, e[:, 0], np.eye(size, dtype=np.float32)[y[e[:, 1]]])
             np.add.at(n, e[:, 1], np.eye(size, dtype=np.float32)[y[e[:, 0]]])
         beside.append(n)
-    hidden = np.zeros_like(x)
-    hidden[:, 0] = 1
-    full = np.concatenate([np.concatenate([x, *beside], 1), np.concatenate([hidden, *beside], 1)])
-    target = np.eye(size, dtype=np.float32)[np.concatenate([y, y])]
+    own = np.flatnonzero(use == 1)
+    own = own[:: max(1, len(own) // max(1, OWN_SHARE * int((use == 2).sum())))]
+    use = np.concatenate([np.flatnonzero(use == 2), own])
+    full = np.concatenate([x, *beside], 1)[use]
+    target = np.eye(size, dtype=np.float32)[y[use]]
+    same = np.eye(size, dtype=bool)
+    kind = np.ones(size, bool)
+    kind[0] = False
+    both = kind[:, None] & kind
+    ties = [both & same, both & ~same, ~both & ~same, ~both & same]
     w = np.zeros((full.shape[1], size), np.float32)
     v = np.zeros_like(w)
     for _ in range(steps):
@@ -207,20 +243,75 @@ def fit(x: np.ndarray, y: np.ndarray, chain: np.ndarray, skip: np.ndarray, steps
         p /= p.sum(1, keepdims=True)
         v = 0.9 * v + full.T @ (target - p) / max(len(full), 1) - decay * w
         w += 0.5 * v
-        for at in (x.shape[1], x.shape[1] + size):  # a pair's weight is the same from either side
-            w[at : at + size] = (w[at : at + size] + w[at : at + size].T) / 2
-    f = x.shape[1]
-    return Field(w[:f], w[f : f + size], _tied(w[f + size :]))
-
-
-def _tied(w: np.ndarray) -> np.ndarray:
-    """Skip weights that don't depend on the kind, since a kind may have too few repeats: the best-known kind's hold for all."""
-    out = np.empty_like(w)
-    out[:, :] = w[1:, 1:][~np.eye(len(w) - 1, dtype=bool)].mean()
-    out[0, 1:] = out[1:, 0] = w[0, 1:].min()
-    out[range(1, len(w)), range(1, len(w))] = w.diagonal()[1:].max()
-    out[0, 0] = w[0, 0]
-    return SKIP_WEIGHT * out
+        w[f : f + size] = (w[f : f + size] + w[f : f + size].T) / 2  # a pair's weight is the same from either side
+        for tie in ties:
+            w[f + size :][tie] = w[f + size :][tie].mean()
+    return Field(w[:f], w[f : f + size], w[f + size :])
+
+
+def altered(kind: str, value: str, rng: random.Random) -> str:
+    """The value as a person may write it again, so that no pattern finds it."""
+    digits = re.sub(r"[^0-9]", "", value)
+    if kind == "email":
+        return value.replace("@", rng.choice(["(at)", "[at]", "_at_"]))
+    if kind == "ip":
+        return value.replace(".", rng.choice("-_/"))
+    if kind == "card":
+        return rng.choice("/_.").join(digits[k : k + 4] for k in range(0, len(digits), 4))
+    digits = digits[rng.randrange(0, max(1, len(digits) - 8)) :]
+    return rng.choice(["-", ".", "/", ""]).join([digits[:-7], digits[-7:-4], digits[-4:]]).strip("-./")
+
+
+def foreign(value: str, rng: random.Random) -> str:
+    """Another value of the same shape."""
+    return "".join(rng.choice("0123456789") if c.isdigit() else rng.choice("abcdefghijklmnopqrstuvwxyz") if c.isalpha() else c for c in value)
+
+
+def with_repeats(text: str, rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
+    """The text with altered repeats of values that the patterns find in it, and as many altered values that it doesn't
+    hold, added: (start, end, label) of each, label 0 for values it doesn't hold."""
+    found = [(k, text[s:e]) for k, own in enumerate(base_spans(text)) for s, e in own]
+    added = []
+    for k, value in rng.sample(found, min(4, len(found))):
+        other = foreign(value, rng)
+        for _ in range(rng.randrange(1, 4)):
+            added += [(altered(KINDS[k], value, rng), k + 1), (altered(KINDS[k], other, rng), 0)]
+    rng.shuffle(added)
+    out, at = [text], len(text)
+    places = []
+    for w, label in added:
+        lead = rng.choice([" and then ", " 12 ", " see ", " Tel ", " again, "])
+        places.append((at + len(lead), at + len(lead) + len(w), label))
+        out += [lead, w]
+        at += len(lead) + len(w)
+    return "".join(out), places
+
+
+def lesson(text: str, rng: random.Random) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+    """Features, labels, chain and skip edges, and which tokens are learned from, of a text with repeats added.
+
+    What the patterns find is observed, as it is when the field labels; learned are the added values, and the text's own
+    tokens that no pattern found and that repeat nothing found.
+    """
+    full, places = with_repeats(text, rng)
+    batch = pa.RecordBatch.from_arrays([pa.array([full], pa.string())], names=["t"])
+    (_, _, spans, t), = _marked_rows(batch, 0)
+    if t is None:
+        return None
+    base = labels_of(t, spans)
+    chain, skip = edges(t)
+    skip = anchored(t, base, skip)
+    y, use = base.copy(), (base == 0).astype(np.int8)
+    for e in (skip, skip[:, ::-1]):
+        use[e[base[e[:, 1]] > 0, 0]] = 0
+    for s, e, label in places:
+        own = slice(np.searchsorted(t.last, s, side="right"), np.searchsorted(t.first, e, side="left"))
+        free = base[own] == 0
+        y[own][free], use[own][free] = label, 2
+    keep = min(len(y), SAMPLE_TOKENS)
+    first = len(y) - keep  # the added values are at the end
+    chain, skip = (e[(e >= first).all(1)] - first for e in (chain, skip))
+    return features(t)[first:], y[first:], chain, skip, use[first:]
 
 
 def marginals(unary: np.ndarray, links: list[tuple[np.ndarray, np.ndarray]], rounds: int = ROUNDS) -> np.ndarray:
@@ -289,31 +380,32 @@ def _marked_rows(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, str,
                 continue
             raw = own[begin[r] : begin[r + 1]]
             text = raw.tobytes().decode()
-            yield i + r, text, base_spans(text), tokens_of(text, raw, first[s:e] - begin[r], last[s:e] - begin[r], marked[s:e])
+            spans = base_spans(text)
+            yield i + r, text, spans, tokens_of(text, spans, raw, first[s:e] - begin[r], last[s:e] - begin[r], marked[s:e])
 
 
 def _sampled(docs: DataFrame) -> Field:
-    """The field fitted on the marked tokens of about SAMPLE documents, chosen by a hash of id and text."""
+    """The field fitted on SAMPLE different texts at most, those of the least hash, with altered repeats added to each."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, _, spans, t in _marked_rows(b, 1):
-                if t is None:
-                    continue
-                chain, skip = edges(t)
-                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (features(t).tobytes(), labels_of(t, spans).tobytes(), chain.tobytes(), skip.tobytes())], names=["x", "y", "chain", "skip"])
+            for h, text in zip(*(c.to_pylist() for c in b.columns)):
+                if got := lesson(text, random.Random(h)):
+                    yield pa.RecordBatch.from_arrays([pa.array([h]), *(pa.array([x.tobytes()], pa.binary()) for x in got)], names=["h", "x", "y", "chain", "skip", "use"])
 
     n = docs.count()
-    share = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) < math.ceil((1 << 20) * min(1.0, SAMPLE / max(n, 1)))
-    rows = docs.where(share).mapInArrow(work, "x binary, y binary, chain binary, skip binary").orderBy(F.xxhash64("x", "y")).collect()
-    x, y, chain, skip, at = [np.zeros((0, len(FEATURES)), np.float32)], [np.zeros(0, np.int64)], [np.zeros((0, 2), np.int64)], [np.zeros((0, 2), np.int64)], 0
-    for r in rows:
-        x.append(np.frombuffer(r[0], np.float32).reshape(-1, len(FEATURES)))
-        y.append(np.frombuffer(r[1], np.int64))
-        chain.append(np.frombuffer(r[2], np.int64).reshape(-1, 2) + at)
-        skip.append(np.frombuffer(r[3], np.int64).reshape(-1, 2) + at)
-        at += len(y[-1])
-    return fit(*(np.concatenate(v) for v in (x, y, chain, skip)))
+    # Half as many again by their hash, so that what is sorted is bounded; of these the least SAMPLE.
+    share = F.pmod("h", F.lit(1 << 20)) < math.ceil((1 << 20) * min(1.0, 1.5 * SAMPLE / max(n, 1)))
+    some = docs.select(F.xxhash64("text").alias("h"), "text").where(share).groupBy("h").agg(F.first("text").alias("text"))
+    rows = some.orderBy(F.pmod("h", F.lit(1 << 20)), "h").limit(SAMPLE).mapInArrow(work, "h long, x binary, y binary, chain binary, skip binary, use binary").collect()
+    parts: list[list[np.ndarray]] = [[np.zeros((0, len(FEATURES)), np.float32)], [np.zeros(0, np.int64)], [np.zeros((0, 2), np.int64)], [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int8)]]
+    at = 0
+    for r in sorted(rows):
+        x, y, chain, skip, use = (np.frombuffer(v, kind).reshape(shape) for v, kind, shape in zip(r[1:], (np.float32, np.int64, np.int64, np.int64, np.int8), ((-1, len(FEATURES)), -1, (-1, 2), (-1, 2), -1)))
+        for to, v in zip(parts, (x, y, chain + at, skip + at, use)):
+            to.append(v)
+        at += len(y)
+    return fit(*(np.concatenate(v) for v in parts))
 
 
 def label(t: Tokens, base: np.ndarray, field: Field) -> np.ndarray:
@@ -330,14 +422,17 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", field:
     """For each row: id, n_email, n_ip, n_card, n_phone, base_spans and spans.
 
     The counts and base_spans are those of the patterns, in code points, end exclusive. spans has besides what the
-    field labels: words with a digit or an at-sign are its tokens, neighbours and tokens that repeat or resemble one
-    another share potentials, each repeat also with the nearest one that a pattern labelled, and loopy message passing,
-    until it settles, carries the labels of what the patterns found to the rest of the document. The field is fitted on about SAMPLE documents labelled by the patterns, unless one is given. A null
-    or empty text has no spans, rows of one id give a row each, and an empty table gives no rows. Nothing is shuffled.
+    field labels: words with a digit, an at-sign or an email's local part are its tokens, neighbours and tokens that
+    repeat or resemble one another share potentials, each repeat also with the nearest one that a pattern labelled, and
+    loopy message passing, until it settles, carries the labels of what the patterns found to the rest of the document.
+    The field is fitted on SAMPLE texts at most, to which altered repeats of what the patterns find are added, unless one
+    is given. A null or empty text has no spans, a very long one is one field, held by itself; rows of one id give a row
+    each, equal texts equal spans; an empty table gives no rows. Columns other than the id and the text are not carried,
+    whatever they are called. Nothing is shuffled but the sample.
     """
     spark = docs.sparkSession
     common.ship(spark)
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     if field is None:
         field = _sampled(rows)
     given = field
