@@ -13,29 +13,45 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the classifier, fitted on their labels, predicts to be good."""
-    model = quality.fit(docs, common.table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where("predicted = 1").select(*COLUMNS)
+    """The documents that the classifier, fitted on their labels, predicts to be good.
+
+    Null and empty texts are scored as texts without words, equal texts alike; without labels all stay, since every
+    score is one half. Other columns than COLUMNS are left out first, whatever they are called; no rows give none.
+    """
+    own = docs.select(*COLUMNS)
+    model = quality.fit(own, common.table(spark, sf_dir, "labels"))
+    return quality.score(own, model).where("predicted = 1").select(*COLUMNS)
 
 
 def _line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The text of every document without repeated windows of three lines; n_chars is counted anew."""
-    return line_dedup.deduplicate(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    """The text of every document without repeated windows of three lines; n_chars is counted anew.
+
+    A null text becomes an empty one; rows of one id, or without one, are ordered by a hash of their text, and of equal
+    rows the first stays whole. No document goes, though one may be left empty; a very long text is one of its range.
+    """
+    return line_dedup.deduplicate(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates, that of the least id."""
-    return ngram_join.one_of_each(docs).select(*COLUMNS)
+    """One document of each class of near duplicates, that of the least id.
+
+    Classes are of texts: rows that share an id or have none stay unless their texts are alike, of equal rows one stays,
+    and texts without words (null, empty, left empty by the stage before) are one class.
+    """
+    return ngram_join.one_of_each(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def _decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that hold no benchmark item."""
-    return decontamination.clean(docs, common.table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+    """The documents that hold no benchmark item. Null and empty texts hold none; equal texts are judged alike; an empty benchmark leaves all."""
+    return decontamination.clean(docs.select(*COLUMNS), common.table(spark, sf_dir, "benchmark")).select(*COLUMNS)
 
 
 def _packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of all documents in sequences: a row for each piece, with its ids and their checksum."""
-    return packing.pack(docs).withColumn("ids_crc32", F.crc32("ids"))
+    """The token ids of all documents in sequences: a row for each piece, with its ids and their checksum.
+
+    A null or empty text is its end id alone; rows of one id, or without one, are packed each; no rows give none.
+    """
+    return packing.pack(docs.select(*COLUMNS)).withColumn("ids_crc32", F.crc32("ids"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -51,10 +67,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, applied to the documents table."""
+    """All stages, applied to the documents table; what a stage leaves is stored, and removed once the next has stored its own."""
     docs = common.table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        got = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs = common.stored(docs)
+            got = common.stored(got)
+            if i:
+                common.discard(docs)
+        docs = got
     return docs
