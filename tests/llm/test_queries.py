@@ -111,3 +111,31 @@ def test_pipeline_stage_by_stage(spark, texts):
         before = {i: r["text"] for i, r in now.items()}
     pieces = docs.collect()
     assert {r["doc_id"] for r in pieces} == set(before) and all(zlib.crc32(r["ids"]) == r["ids_crc32"] for r in pieces)
+
+
+def test_pipeline_with_other_columns_nulls_and_no_rows(spark, tmp_path):
+    """Columns called as the stages call their own change nothing; null ids and texts, empty, long and repeated rows pass."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from .conftest import prose
+
+    rng = random.Random(3)
+    rows = [(i, prose(rng, rng.randrange(40, 200))) for i in range(60)] + [(None, prose(rng, 80)) for _ in range(20)]
+    rows += [(70, None), (71, ""), (72, " \n "), (73, prose(rng, 20000)), (5, rows[5][1]), (5, rows[5][1])]
+    plain = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    names = ("predicted", "score", "_id", "_tie", "_range", "_text", "_rest", "class_id", "node", "item_id", "removed", "n_removed", "id", "mark")
+    more = plain.select("*", *[F.lit("x").alias(n) for n in names])
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(50)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(1, prose(rng, 30)), (2, " ".join(rows[9][1].split()[:35]))], "item_id long, text string")
+    out = []
+    for k, docs in enumerate((plain, more, plain.limit(0))):
+        folder = str(tmp_path / str(k))
+        for name, df in (("documents", docs), ("labels", labels), ("benchmark", items)):
+            df.write.parquet(f"{folder}/{name}.parquet")
+        got = corpus_pipeline.run(spark, folder).groupBy("doc_id").agg(F.count_distinct("start").alias("n"), F.sum("length").alias("ids")).collect()
+        out.append(sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n"], r["ids"]) for r in got))
+    assert out[0] == out[1] and out[2] == []
+    ids = {r[1] for r in out[0] if not r[0]}
+    assert ids >= set(range(60)) - {9} | {70, 73} and not ids & {9, 71, 72} and any(r[0] for r in out[0])
