@@ -45,28 +45,31 @@ def weights(ingredients: DataFrame, frequency: DataFrame, recipes: int, by_categ
 
 
 def composite(bridge: DataFrame, weighted: DataFrame, owned: DataFrame, substitutes: DataFrame | None = None) -> DataFrame:
-    """Per recipe over distinct ingredients: matched, weighted_rate, core_coverage, feasibility, score (four decimals).
+    """Per recipe over distinct ingredients: matched, substituted, match_rate, weighted_rate, core_coverage, feasibility, score (four decimals).
 
     substitutes: ingredient_id and credit of what a missing ingredient's substitute is worth; it counts by its credit.
+    Recipes without any owned or substituted ingredient are left out.
     """
     rows = bridge.distinct().join(weighted, "ingredient_id").join(owned.select("ingredient_id").distinct().withColumn("own", F.lit(1)), "ingredient_id", "left")
     rows = rows.join(substitutes.select("ingredient_id", "credit"), "ingredient_id", "left") if substitutes is not None else rows.withColumn("credit", F.lit(None).cast("double"))
     have, sub = F.col("own").isNotNull(), F.col("own").isNull() & F.col("credit").isNotNull()
     got = rows.groupBy("recipe_id").agg(
         F.count("own").alias("matched"),
+        F.count_if(sub).alias("substituted"),
         F.count_if(~have & ~sub).alias("missing"),
         F.sum("weight").alias("tw"),
         F.sum(F.when(have, F.col("weight")).when(sub, F.col("weight") * F.col("credit")).otherwise(0.0)).alias("mw"),
         F.count_if("core").alias("ct"),
         F.count_if(F.col("core") & (have | sub)).alias("cm"),
         F.count_if(F.col("core") & ~have & ~sub).alias("cx"),
-    ).where("matched > 0")
+    ).where("matched + substituted > 0 and tw > 0")
     core = F.coalesce(F.try_divide(F.col("cm"), F.col("ct")), F.lit(1.0))
     feasible = 1 - F.col("cx") / F.greatest(F.col("ct"), F.lit(1))
     wm = F.try_divide(F.col("mw"), F.col("tw"))
     p = SCORE_PARTS
     score = p["weighted"] * wm + p["core"] * core + p["feasible"] * feasible + p["few_missing"] / (1 + F.log1p(F.col("missing")))
-    return got.select("recipe_id", "matched", F.round(score, 4).alias("score"), F.round(wm, 4).alias("weighted_rate"), F.round(core, 4).alias("core_coverage"), F.round(feasible, 4).alias("feasibility"))
+    rate = F.col("matched") / (F.col("matched") + F.col("substituted") + F.col("missing"))
+    return got.select("recipe_id", "matched", "substituted", F.round(rate, 4).alias("match_rate"), F.round(score, 4).alias("score"), F.round(wm, 4).alias("weighted_rate"), F.round(core, 4).alias("core_coverage"), F.round(feasible, 4).alias("feasibility"))
 
 
 def group_edges(members: DataFrame, group: str, name: str, priority: int, credit: float) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import similarity as S
+from .made import pick, pick_sql
 from .registry import query, table
 
 # Words that make a product a snack or processed food.
@@ -77,6 +78,10 @@ def item_type(name: Column, standard: Column, matched: Column, rules: Rules) ->
     return F.when(out, "NON_FOOD").when(any_word(both, SNACK), "SNACK").when(any_word(both, PROCESSED), "PROCESSED_FOOD").when(matched, "INGREDIENT").otherwise("UNKNOWN")
 
 
+def mapping_status(matched: Column, kind: Column) -> Column:
+    return F.when(matched, "MAPPED").when(kind == "NON_FOOD", "EXCLUDED").otherwise("UNMAPPED")
+
+
 def predict(products: DataFrame, ingredients: DataFrame, rules: Rules) -> DataFrame:
     """products (product_name) with the ingredient each stands for, how it was found, its type, status, reason and suggestions.
 
@@ -107,8 +112,7 @@ def predict(products: DataFrame, ingredients: DataFrame, rules: Rules) -> DataFr
     matched = F.col("b").isNotNull()
     kind = item_type(F.col("product_name"), F.col("standard"), matched, rules)
     out = hit.select("product_name", "ingredientId", "ingredientName", "category", F.round("b.score", 4).alias("similarity"), F.when(matched, source).alias("mapping_source"), F.col("standard").alias("standard_product_name"), kind.alias("item_type"), matched.alias("matched"))
-    status = F.when(F.col("matched"), "MAPPED").when(F.col("item_type") == "NON_FOOD", "EXCLUDED").otherwise("UNMAPPED")
-    out = out.withColumn("mapping_status", status).withColumn("reason", F.when(F.col("mapping_status") == "EXCLUDED", "비식품 또는 제외 대상").when(F.col("mapping_status") == "UNMAPPED", "DB에 일치하는 재료 없음")).drop("matched")
+    out = out.withColumn("mapping_status", mapping_status(F.col("matched"), F.col("item_type"))).withColumn("reason", F.when(F.col("mapping_status") == "EXCLUDED", "비식품 또는 제외 대상").when(F.col("mapping_status") == "UNMAPPED", "DB에 일치하는 재료 없음")).drop("matched")
     return out.join(suggestions(out.where("mapping_status = 'UNMAPPED'"), dim), "product_name", "left").withColumn("suggestions", F.coalesce("suggestions", F.array().cast("array<string>")))
 
 
@@ -120,12 +124,12 @@ def suggestions(open_: DataFrame, dim: DataFrame) -> DataFrame:
     return flat.groupBy("product_name").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "ingredientName"))), lambda s: s["ingredientName"]).alias("suggestions"))
 
 
-def mining_groups(items: DataFrame, matches: DataFrame, false_positive: Column) -> DataFrame:
+def mining_groups(items: DataFrame, matches: DataFrame, no_item: Column | None = None) -> DataFrame:
     """Candidates for new rules, by kind: alias, false_positive, unmapped and weak, with counts, files and mean confidence.
 
     items: pos, file_name, raw_name, normalized_name, confidence, parse_pattern. matches: product_name, ingredientName,
     mapping_source, similarity. An item is an alias candidate besides what else it is; of the others it is the first
-    that applies. sample_files are the first five distinct ones; patterns are counted, the most frequent first.
+    that applies; no_item (over the column product) is `false_positive` unless given. sample_files are the first five distinct ones; patterns are counted, the most frequent first.
     """
     name = F.coalesce(F.nullif(F.trim("normalized_name"), F.lit("")), F.trim("raw_name"))
     rows = items.withColumns({"raw": F.trim(F.coalesce("raw_name", F.lit(""))), "product": name}).where("product <> ''")
@@ -133,7 +137,7 @@ def mining_groups(items: DataFrame, matches: DataFrame, false_positive: Column)
     met = rows.join(matches.withColumnRenamed("product_name", "product"), "product", "left")
     ruled = F.coalesce(F.col("mapping_source").isin(*RULE_SOURCES), F.lit(False))
     weak = ~ruled & (F.coalesce(F.col("similarity") < WEAK, F.lit(False)) | (compact(F.col("product")) != compact(F.col("ingredientName"))))
-    kind = F.when(false_positive, "false_positive").when(F.col("ingredientName").isNull(), "unmapped").when(weak, "weak")
+    kind = F.when(false_positive(F.col("product")) if no_item is None else no_item, "false_positive").when(F.col("ingredientName").isNull(), "unmapped").when(weak, "weak")
     rest = met.withColumns({"kind": kind, "key": F.col("product"), "other": F.when(kind == "weak", F.col("ingredientName"))}).where("kind is not null")
     cols = ["kind", "key", "other", "pos", "file_name", "confidence", "parse_pattern"]
     every = alias.select(cols).unionByName(rest.select(cols)).withColumn("other", F.coalesce("other", F.lit("")))
@@ -149,6 +153,50 @@ def mining_groups(items: DataFrame, matches: DataFrame, false_positive: Column)
     return base.join(files, keys, "left").join(hist, keys, "left").withColumn("other", F.nullif("other", F.lit("")))
 
 
+# Signs of lines that are no items, in order.
+FALSE_POSITIVE = ["에누리", "(?i)s-?point", r"(?i)\bga[0-9]{4,}", r"(?i)\byldp", "지점", "보험", "약제비", "본인부담", "종량"]
+SHOWN = 30
+
+
+def false_positive(name: Column) -> Column:
+    """Whether a product's name is likely no item: next to nothing, a sign of FALSE_POSITIVE, a number, or a price with hardly a letter."""
+    t = F.trim(name)
+    tight = F.regexp_replace(t, r"(?U)\s+", "")
+    letters, digits_ = F.regexp_count(t, F.lit("[가-힣A-Za-z]")), F.regexp_count(t, F.lit(r"(?U)\d"))
+    signs = F.lit(False)
+    for p in FALSE_POSITIVE:
+        signs = signs | t.rlike(p)
+    number = (digits_ >= 5) & ~t.rlike("[가-힣A-Za-z]{2,}")
+    price = t.rlike(r"[-+]?[0-9][0-9,]*\s*원?$") & (F.length(tight) <= 10) & (letters < 3)
+    return (F.length(tight) <= 1) | signs | number | price
+
+
+def report_rows(groups: DataFrame, limit: int = SHOWN) -> DataFrame:
+    """kind, rank and line of the first `limit` candidates of each kind: the most frequent first, then by name."""
+    from pyspark.sql import Window as W
+
+    order = W.partitionBy("kind").orderBy(F.desc("count"), "key", F.coalesce("other", F.lit("")))
+    files = F.coalesce(F.array_join("sample_files", ", "), F.lit(""))
+    told = F.concat(F.lit(" (count="), F.col("count").cast("string"), F.lit(", avg_conf="), F.coalesce(F.col("avg_confidence").cast("string"), F.lit("None")), F.lit(", files="), files)
+    line = F.when(F.col("kind") == "alias", F.concat(F.lit("- `"), "key", F.lit("` -> `"), "other", F.lit("`"), told, F.lit(")"))).when(
+        F.col("kind") == "weak", F.concat(F.lit("- `"), "key", F.lit("`"), told, F.lit(", ingredient="), F.coalesce("other", F.lit("")), F.lit(")"))
+    ).otherwise(F.concat(F.lit("- `"), "key", F.lit("`"), told, F.lit(")")))
+    return groups.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("kind", "rank", line.alias("line"))
+
+
+SECTIONS = [("alias", "Alias Candidates"), ("unmapped", "Unmapped Products"), ("false_positive", "False Positive Item Candidates"), ("weak", "Weak Match Products")]
+
+
+def markdown_report(groups: DataFrame, summary: dict[str, int | str], limit: int = SHOWN) -> str:
+    """The report as text: the summary's counts, then a section for each kind. At most `limit` lines of each reach the driver."""
+    rows = report_rows(groups, limit).orderBy("kind", "rank").collect()
+    out = ["# Receipt Rule Candidate Report", "", *[f"- {k}: `{v}`" for k, v in summary.items()]]
+    for kind, title in SECTIONS:
+        own = [r["line"] for r in rows if r["kind"] == kind]
+        out += ["", f"## {title}", "", *(own or ["- none"])]
+    return "\n".join(out) + "\n"
+
+
 # Queries over the driver's tables.
 
 KEYWORDS = [("red", "warm"), ("blue", "cold"), ("large", "big"), ("small", "little"), ("plate", "flat"), ("bolt", "metal"), ("red plate", "warm flat"), ("gear", "metal")]
@@ -203,29 +251,39 @@ def levenshtein_char_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("reference", "heard", F.round(S.char_accuracy(F.col("reference"), F.col("heard")), 4).alias("accuracy"))
 
 
-TYPE_SQL = "CASE WHEN regexp_matches(p_name, '^large|box') THEN 'NON_FOOD' WHEN contains(p_name, 'red') THEN 'SNACK' WHEN contains(p_name, 'plate') THEN 'PROCESSED_FOOD' WHEN p_partkey % 3 = 0 THEN 'INGREDIENT' ELSE 'UNKNOWN' END"
+MADE = ["국산 두부", "신라면 컵", "초코 쿠키", "종량제 봉투", "서울 우유", "깐 마늘", "S-POINT 적립", "참기름", "에누리", "red box", "1,200원", "GA12345 지점", "캔디", "보험료", "양파 망", "12345678"]
+RULES = Rules(non_items=[("packaging", ["봉투", "BOX"], ["^종량"]), ("discount", ["s-point"], ["에누리"])], aliases=[("깐 마늘", "마늘"), ("두부", "콩두부"), ("콩두부", "순두부"), ("망", "")])
+MADE_SQL = f"made AS (SELECT p_partkey, {pick_sql(MADE, 'p_partkey')} AS name, p_partkey % 3 = 0 AS matched FROM part)"
+
+
+def made_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", pick(MADE, F.col("p_partkey")).alias("name"), (F.col("p_partkey") % 3 == 0).alias("matched"))
+
 
+TYPED_SQL = f"""{MADE_SQL},
+typed AS (SELECT *, regexp_replace(lower(trim(name)), '[^a-z0-9_가-힣]', '', 'g') AS norm FROM made),
+kinds AS (SELECT p_partkey, matched, CASE WHEN regexp_matches(name, '(?i)봉투|box|^종량|s-point|에누리') THEN 'NON_FOOD' WHEN regexp_matches(norm, '{'|'.join(SNACK)}') THEN 'SNACK' WHEN regexp_matches(norm, '{'|'.join(PROCESSED)}') THEN 'PROCESSED_FOOD' WHEN matched THEN 'INGREDIENT' ELSE 'UNKNOWN' END AS item_type FROM typed)"""
 
-@query("item_type_cascade", f"SELECT p_partkey, {TYPE_SQL} AS item_type FROM part")
+
+@query("item_type_cascade", f"WITH {TYPED_SQL} SELECT p_partkey, item_type FROM kinds")
 def item_type_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = Rules(non_items=[("bulk", ["BOX"], ["^large"])])
-    out = non_item_category(F.col("p_name"), rules).isNotNull()
-    kind = F.when(out, "NON_FOOD").when(any_word(F.col("p_name"), ["red"]), "SNACK").when(any_word(F.col("p_name"), ["plate"]), "PROCESSED_FOOD").when(F.col("p_partkey") % 3 == 0, "INGREDIENT").otherwise("UNKNOWN")
-    return table(spark, sf_dir, "part").select("p_partkey", kind.alias("item_type"))
+    return made_names(spark, sf_dir).select("p_partkey", item_type(F.col("name"), F.lit(None).cast("string"), F.col("matched"), RULES).alias("item_type"))
 
 
-@query("mapping_status_report", f"WITH t AS (SELECT *, {TYPE_SQL} AS item_type FROM part) SELECT item_type, CASE WHEN p_partkey % 3 = 0 AND item_type <> 'NON_FOOD' THEN 'MAPPED' WHEN item_type = 'NON_FOOD' THEN 'EXCLUDED' ELSE 'UNMAPPED' END AS mapping_status, count(*)::BIGINT AS n FROM t GROUP BY ALL")
+@query("mapping_status_report", f"WITH {TYPED_SQL} SELECT item_type, CASE WHEN matched THEN 'MAPPED' WHEN item_type = 'NON_FOOD' THEN 'EXCLUDED' ELSE 'UNMAPPED' END AS mapping_status, count(*)::BIGINT AS n FROM kinds GROUP BY ALL")
 def mapping_status_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = item_type_cascade(spark, sf_dir)
-    status = F.when((F.col("p_partkey") % 3 == 0) & (F.col("item_type") != "NON_FOOD"), "MAPPED").when(F.col("item_type") == "NON_FOOD", "EXCLUDED").otherwise("UNMAPPED")
-    return t.groupBy("item_type", status.alias("mapping_status")).agg(F.count("*").alias("n"))
+    typed = made_names(spark, sf_dir).withColumn("item_type", item_type(F.col("name"), F.lit(None).cast("string"), F.col("matched"), RULES))
+    return typed.groupBy("item_type", mapping_status(F.col("matched"), F.col("item_type")).alias("mapping_status")).agg(F.count("*").alias("n"))
 
 
-@query("alias_rewrite", "SELECT p_partkey, CASE WHEN replace(p_name, ' ', '') = 'redplate' THEN 'crimson dish' ELSE replace(replace(p_name, 'plate', 'dish'), 'dish', 'bowl') END AS standard FROM part")
+@query("alias_rewrite", f"WITH {MADE_SQL} SELECT p_partkey, CASE lower(replace(name, ' ', '')) WHEN '깐마늘' THEN '마늘' WHEN '두부' THEN '콩두부' WHEN '콩두부' THEN '순두부' WHEN '망' THEN '' ELSE replace(replace(replace(replace(name, '깐 마늘', '마늘'), '두부', '콩두부'), '콩두부', '순두부'), '망', '') END AS standard FROM made")
 def alias_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = Rules(aliases=[("red plate", "crimson dish")])
-    whole = table_lookup(first_wins(rules.aliases), compact(F.col("p_name")))
-    return table(spark, sf_dir, "part").select("p_partkey", F.coalesce(whole, X.replaced(F.col("p_name"), [("plate", "dish"), ("dish", "bowl")])).alias("standard"))
+    return made_names(spark, sf_dir).select("p_partkey", aliased(F.col("name"), RULES).alias("standard"))
+
+
+@query("false_positive_items", f"WITH {MADE_SQL}, t AS (SELECT *, regexp_replace(name, '\\s+', '', 'g') AS tight FROM made) SELECT p_partkey, name, length(tight) <= 1 OR regexp_matches(name, '에누리|(?i:s-?point)|(?i:\\bga[0-9]{{4,}})|(?i:\\byldp)|지점|보험|약제비|본인부담|종량') OR (length(regexp_replace(name, '[^0-9]', '', 'g')) >= 5 AND NOT regexp_matches(name, '[가-힣A-Za-z]{{2,}}')) OR (regexp_matches(name, '[-+]?[0-9][0-9,]*\\s*원?$') AND length(tight) <= 10 AND length(regexp_replace(name, '[^가-힣A-Za-z]', '', 'g')) < 3) AS no_item FROM t")
+def false_positive_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return made_names(spark, sf_dir).select("p_partkey", "name", false_positive(F.col("name")).alias("no_item"))
 
 
 @query("mining_candidates", """
@@ -245,3 +303,15 @@ def mining_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     matches = items.select(F.col("normalized_name").alias("product_name")).distinct().where(~F.contains("product_name", F.lit("gear"))).select("product_name", F.split_part("product_name", F.lit(" "), F.lit(2)).alias("ingredientName"), F.lit("fuzzy_similarity").alias("mapping_source"), (F.length("product_name") / 20).alias("similarity"))
     got = mining_groups(items, matches, F.contains(F.col("product"), F.lit("bolt")))
     return got.select("kind", "key", "other", "count", "avg_confidence", F.array_join("sample_files", ",").alias("files"))
+
+
+@query("mining_report", """
+WITH g AS (SELECT p_brand AS k, count(*)::BIGINT AS n, round(avg(p_retailprice / 1999.0), 4) AS c FROM part WHERE NOT contains(p_name, 'gear') GROUP BY p_brand),
+r AS (SELECT *, row_number() OVER (ORDER BY n DESC, k) AS rank FROM g)
+SELECT 'unmapped' AS kind, rank::INT AS rank, k AS name FROM r WHERE rank <= 30""")
+def mining_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").where(~F.contains("p_name", F.lit("gear")))
+    items = part.select(F.col("p_partkey").alias("pos"), F.lit("").alias("file_name"), F.col("p_brand").alias("raw_name"), F.col("p_brand").alias("normalized_name"), (F.col("p_retailprice") / 1999.0).alias("confidence"), F.lit("").alias("parse_pattern"))
+    none = spark.createDataFrame([], "product_name string, ingredientName string, mapping_source string, similarity double")
+    rows = report_rows(mining_groups(items, none, F.lit(False)))
+    return rows.select("kind", F.col("rank").cast("int").alias("rank"), F.regexp_extract("line", "^- `([^`]*)`", 1).alias("name"))

@@ -18,6 +18,13 @@ NAME_RULES = [(r"^\d{1,3}[)\.\s]+", ""), (r"[#\*\$\|/\\:]+", " "), (SPEC, ""), (
 OLD_NAME_RULES = [(r"^\d{1,3}[)\.\s]+", ""), (r"^\d{2,3}\s*", ""), (r"^[\(\)주초푸삼립농심팔도크라운CJ오뚜기]+\)", ""), (r"[#\*\$\|/\\:]+", " "), (SPEC, ""), (r"\(.*?\)", ""), (r"\s{2,}", " ")]
 SHORT_FORMS = {"삼겹": "삼겹살", "목심": "목살", "닭가슴": "닭가슴살", "양송이": "양송이버섯", "팽이": "팽이버섯", "새송이": "새송이버섯", "느타리": "느타리버섯", "표고": "표고버섯"}
 MISREAD = [(r"(\w)까루", "$1가루"), (r"(\w)쌀$", "$1살"), ("배츄", "배추"), (r"(\w)쟝", "$1장"), (r"(\w)릉$", "$1름"), (r"(\w)묾$", "$1물")]
+# Misread words of receipts and what they stand for, in the order in which they are replaced.
+CORRECTIONS = [tuple(x.split(">")) for x in (
+    "깨잎>깻잎 깨입>깻잎 깨닢>깻잎 갯잎>깻잎 깨앞>깻잎 감급>감귤 감굴>감귤 감골>감귤 방가루>빵가루 빵까루>빵가루 밀까루>밀가루 밀카루>밀가루 콩나묾>콩나물 콩나믈>콩나물 숙주나묾>숙주나물 게란>계란 겨란>계란 게랑>계란 겨랑>계란 겟란>계란 달갈>달걀 달갤>달걀 달결>달걀 "
+    "데파>대파 데퍄>대파 양퍄>양파 양따>양파 감져>감자 갑자>감자 갑져>감자 고구며>고구마 고규마>고구마 뱃추>배추 배츄>배추 시굼치>시금치 시금취>시금치 양배츄>양배추 당긴>당근 당귄>당근 삼겹싸>삼겹살 삼겹쌀>삼겹살 삼격살>삼겹살 삼경살>삼겹살 목쌀>목살 항정쌀>항정살 갈매기쌀>갈매기살 "
+    "닭가슴쌀>닭가슴살 부채쌀>부채살 차돌백이>차돌박이 차돌바기>차돌박이 갈취>갈치 참취>참치 오이스터소스>굴소스 브로꼴리>브로콜리 아보카또>아보카도 아보까도>아보카도 돗마토>토마토 토마또>토마토 또마토>토마토 바내나>바나나 블루배리>블루베리 블루배러>블루베리 딸끼>딸기 멸치엑젓>멸치액젓 멸치엑것>멸치액젓 "
+    "깍뚜기>깍두기 깍뚜끼>깍두기 냉삼>냉동삼겹살 리쳄>리챔 리첌>리챔 참지캔>참치캔 참취캔>참치캔 라몐>라면 우유우>우유 요구르뜨>요구르트 요구르또>요구르트 요거뜨>요거트 고춧까루>고춧가루 고춧카루>고춧가루 고추까루>고춧가루 간쟝>간장 갼장>간장 된쟝>된장 고추쟝>고추장 참기릉>참기름 들기릉>들기름 식용류>식용유 올리브류>올리브유"
+).split()]
 STORES, OLD_STORES = "마트|스토어|슈퍼|식자재|하나로|이마트|홈플러스|롯데|농협", "마트|식자재|스토어|슈퍼"
 OLD_JUNK = r"(?i)^[\d\s/\-\.\:,]+$|^[가-힣]{0,2}:.*$|사업자|대표|주소|전화|번호|계산대|토요일|일요일|월요일|화요일|수요일|목요일|금요일|합계|소계|부가세|과세|면세|카드|승인|할인|거스름|영수증|감사합니다|^[/\-=]+$"
 HEAD_DATES = [r"(\d{4})[.\-/년]\s*(\d{1,2})[.\-/월]\s*(\d{1,2})[일]?", r"(\d{4})(\d{2})(\d{2})"]
@@ -43,14 +50,11 @@ def inline_price(text: Column) -> Column:
     return F.coalesce(product, digits(F.regexp_extract(text, TAIL_PRICE, 1)))
 
 
-def corrected(text: Column, corrections: list[tuple[str, str]]) -> Column:
-    """Misspellings replaced in order; only where none was found, the rewrites of misread endings. corrections is a parameter."""
+def corrected(text: Column, corrections: list[tuple[str, str]] | None = None) -> Column:
+    """Misspellings replaced in order; only where that changes nothing, the rewrites of misread endings."""
     t = F.trim(text)
-    done, hit = t, F.lit(False)
-    for a, b in corrections:
-        hit = hit | F.contains(done, F.lit(a))
-        done = F.replace(done, F.lit(a), F.lit(b))
-    return F.when(hit, done).otherwise(X.rewritten(t, MISREAD))
+    done = X.replaced(t, CORRECTIONS if corrections is None else corrections)
+    return F.when(done != t, done).otherwise(X.rewritten(t, MISREAD))
 
 
 def product_name(text: Column, rules: list[tuple[str, str]] = NAME_RULES) -> Column:
@@ -64,16 +68,26 @@ def is_food(name: Column) -> Column:
 
 
 def known_label(name: Column, labels: DataFrame | None, df: DataFrame) -> DataFrame:
-    """df with known: whether a label is in the name or the name in a label. Labels are a short list, sent to every task."""
+    """df with known: whether a label is in the name or the name in a label.
+
+    Both ways round, what is contained is one of the other's substrings; names are short, so distinct names and labels
+    meet on their substrings by equal keys, and no label reaches the driver.
+    """
     if labels is None:
         return df.withColumn("known", F.lit(False))
-    own = [r[0] for r in labels.select("name").distinct().collect()]
     tight = F.regexp_replace(name, r"(?U)\s+", "")
-    held = F.array(*[F.lit(x) for x in own]) if own else F.array().cast("array<string>")
-    return df.withColumn("known", F.exists(held, lambda x: F.contains(tight, x) | F.contains(x, tight)))
-
-
-def items(lines: DataFrame, keywords: list[tuple[str, str]], corrections: list[tuple[str, str]] = (), labels: DataFrame | None = None) -> DataFrame:
+    keyed = df.withColumn("_tight", tight)
+    names = keyed.select(F.col("_tight").alias("n")).distinct()
+    own = labels.select(F.col("name").alias("l")).where("l <> ''").distinct()
+    inside = similarity.substrings(names, "n", "l").join(own, "l").select("n")
+    around = similarity.substrings(own, "l", "n").join(names, "n").select("n")
+    hit = inside.unionByName(around).distinct().select(F.col("n").alias("_tight"), F.lit(True).alias("known"))
+    blank = F.col("_tight") == ""  # an empty name is in any label
+    some = F.lit(not own.isEmpty())
+    return keyed.join(hit, "_tight", "left").withColumn("known", F.coalesce("known", blank & some)).drop("_tight")
+
+
+def items(lines: DataFrame, keywords: list[tuple[str, str]], corrections: list[tuple[str, str]] | None = None, labels: DataFrame | None = None) -> DataFrame:
     """receipt_id, line_idx, product_name_raw, product_name, amount_krw and category of every food on receipts.
 
     lines: receipt_id, line_idx, text. A product's price stands on its line or on one of the next three lines before
@@ -84,7 +98,7 @@ def items(lines: DataFrame, keywords: list[tuple[str, str]], corrections: list[t
     paired = sequences.look_ahead(typed, "receipt_id", "line_idx", "kind", "price", "price", "product").where("kind = 'product'")
     bare = F.trim(F.regexp_replace(F.regexp_replace("text", TIMES, ""), TAIL_PRICE, ""))
     raw = paired.select("receipt_id", "line_idx", bare.alias("product_name_raw"), F.coalesce(inline_price(F.col("text")), F.col("found")).alias("amount_krw")).where(F.length("product_name_raw") >= 2)
-    named = raw.withColumn("product_name", product_name(corrected(F.col("product_name_raw"), list(corrections)))).where(is_food(F.col("product_name")))
+    named = raw.withColumn("product_name", product_name(corrected(F.col("product_name_raw"), corrections))).where(is_food(F.col("product_name")))
     first = merging.first_wins(named.withColumn("key", similarity.normalized(F.col("product_name"))), ["receipt_id", "key"], "line_idx").drop("key")
     sorted_ = first.withColumn("category", X.longest_keyword(F.col("product_name"), keywords, "기타"))
     return known_label(F.col("product_name"), labels, sorted_).where((F.col("category") != "기타") | F.col("known")).drop("known")

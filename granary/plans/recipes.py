@@ -96,58 +96,12 @@ def ingredient_list_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.size("names").cast("long").alias("n_names"), F.md5(F.array_join("names", "|").cast("binary")).alias("names_md5"))
 
 
-DICT_SQL = """
-r AS (SELECT p_partkey AS pos, p_name AS raw, split_part(p_name, ' ', 2) AS standard FROM part),
-m AS (SELECT standard, count(*) AS n FROM r GROUP BY standard),
-master AS (SELECT row_number() OVER (ORDER BY n DESC, standard)::BIGINT AS id, standard AS standard_name, CASE WHEN standard LIKE '%o%' THEN 'grain' WHEN standard LIKE '%e%' THEN 'dairy' ELSE 'other' END AS category, n::BIGINT AS observed_count FROM m)"""
-
-
-def master(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = table(spark, sf_dir, "part").select(F.split_part("p_name", F.lit(" "), F.lit(2)).alias("standard_name"))
-    counted = names.groupBy("standard_name").agg(F.count("*").alias("observed_count"))
-    return ranking.numbered(counted, "id", F.desc("observed_count"), F.col("standard_name")).withColumn("category", X.first_match(F.col("standard_name"), [("o", "grain"), ("e", "dairy")], "other"))
-
-
-@query("dictionary_master", f"WITH {DICT_SQL} SELECT * FROM master")
-def dictionary_master(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return master(spark, sf_dir).select("id", "standard_name", "category", "observed_count")
-
-
-@query("dictionary_alias", f"WITH {DICT_SQL} SELECT m.id AS ingredient_id, r.raw AS alias_name, count(*)::BIGINT AS observed_count FROM r JOIN master m ON m.standard_name = r.standard WHERE r.raw <> r.standard GROUP BY ALL")
-def dictionary_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = table(spark, sf_dir, "part").select(F.col("p_name").alias("alias_name"), F.split_part("p_name", F.lit(" "), F.lit(2)).alias("standard_name")).where("alias_name <> standard_name")
-    counted = raw.groupBy("standard_name", "alias_name").agg(F.count("*").alias("observed_count"))
-    return counted.join(master(spark, sf_dir).select("standard_name", F.col("id").alias("ingredient_id")), "standard_name").select("ingredient_id", "alias_name", "observed_count")
-
-
-@query("shelf_rules", f"WITH {DICT_SQL} SELECT category, first_name, days FROM (SELECT category, standard_name AS first_name, CASE category WHEN 'grain' THEN 180 WHEN 'dairy' THEN 7 ELSE 14 END AS days, row_number() OVER (PARTITION BY category ORDER BY id) AS k FROM master) WHERE k = 1")
-def shelf_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = merging.first_wins(master(spark, sf_dir), ["category"], "id")
-    return first.select("category", F.col("standard_name").alias("first_name"), F.when(F.col("category") == "grain", 180).when(F.col("category") == "dairy", 7).otherwise(14).alias("days"))
-
-
 @query("dense_recipe_ids", "SELECT 'R' || lpad(row_number() OVER (ORDER BY o_orderpriority, o_orderkey)::VARCHAR, 5, '0') AS recipe_no, o_orderkey FROM orders")
 def dense_recipe_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
     return ranking.numbered(orders, "n", F.col("o_orderpriority"), F.col("o_orderkey")).select(F.format_string("R%05d", "n").alias("recipe_no"), "o_orderkey")
 
 
-@query("method_inference_argmax", """
-WITH s AS (SELECT doc_id, len(regexp_extract_all(lower(text), 'ing')) AS boil, 10 * (lower(left(text, 40)) LIKE '%the%')::INT + len(regexp_extract_all(lower(text), 'tion')) AS bake, 0.8 * len(regexp_extract_all(lower(text), 'sch')) AS steam FROM documents)
-SELECT doc_id, CASE WHEN greatest(boil, bake, steam) < 1.0 THEN 'other' WHEN boil >= bake AND boil >= steam THEN 'boil' WHEN bake >= steam THEN 'bake' ELSE 'steam' END AS method FROM s""")
-def method_inference_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    low, title = F.lower("text"), F.lower(F.substring("text", 1, 40))
-    rules = [("boil", F.regexp_count(low, F.lit("ing")).cast("double")), ("bake", 10.0 * title.contains("the").cast("int") + F.regexp_count(low, F.lit("tion"))), ("steam", 0.8 * F.regexp_count(low, F.lit("sch")))]
-    return table(spark, sf_dir, "documents").select("doc_id", X.scored_argmax(rules, least=1.0, default="other").alias("method"))
-
-
-@query("classify_case_cascade", """
-SELECT p_partkey, CASE WHEN p_name LIKE '%plate%' OR p_name LIKE '%box%' THEN 'container' WHEN regexp_matches(p_name, '^(red|blue)') THEN 'coloured' WHEN p_name LIKE '%gear%' THEN 'machine' ELSE 'other' END AS class FROM part""")
-def classify_case_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = [("plate|box", "container"), ("^(red|blue)", "coloured"), ("gear", "machine")]
-    return table(spark, sf_dir, "part").select("p_partkey", X.first_match(F.col("p_name"), rules, "other").alias("class"))
-
-
 @query("copyright_filter", r"SELECT page_id, url FROM pages WHERE NOT (regexp_matches(html, '(?i)all rights reserved|copyright|©') OR regexp_matches(url, '(?i)\.(example|test)\.org'))")
 def copyright_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")

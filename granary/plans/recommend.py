@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ranking, recommendation
+from .projections import checked
 from .registry import query, table
 
 RECIPE_SQL = """
@@ -96,32 +97,61 @@ def substitution_edges(ingr: DataFrame) -> DataFrame:
     return groups.unionByName(prepared).unionByName(parts)
 
 
-SCORE_SQL = f"""{WEIGHTS_SQL},
+SCORE_SQL = f"""{WEIGHTS_SQL}, {SUBS_SQL},
+sub_ids AS (SELECT i.ingredient_id, s.credit FROM ingr i JOIN sub s ON s.missing = i.name),
 c AS (
-  SELECT b.recipe_id, count(*) AS total, count(o.ingredient_id) AS matched, sum(w.weight) AS total_weight, coalesce(sum(w.weight) FILTER (o.ingredient_id IS NOT NULL), 0) AS matched_weight,
-    count(*) FILTER (w.core AND NOT w.staple) AS core_total, count(*) FILTER (w.core AND NOT w.staple AND o.ingredient_id IS NOT NULL) AS core_matched
-  FROM bridge b JOIN w USING (ingredient_id) LEFT JOIN owned o USING (ingredient_id) GROUP BY b.recipe_id),
-s AS (
-  SELECT recipe_id, total, matched, matched_weight / total_weight AS wm, CASE WHEN core_total = 0 THEN 1.0 ELSE core_matched / core_total::DOUBLE END AS core,
-    1 - (core_total - core_matched) / greatest(core_total, 1)::DOUBLE AS feas, total - matched AS missing FROM c WHERE matched > 0),
-scored AS (SELECT s.recipe_id, r.category, s.matched::BIGINT AS matched, round(0.45 * wm + 0.25 * core + 0.20 * feas + 0.10 / (1 + ln(1 + missing)), 4) AS score, round(wm, 4) AS weighted_rate, round(core, 4) AS core_coverage, round(feas, 4) AS feasibility FROM s JOIN recipe r USING (recipe_id))"""
+  SELECT b.recipe_id, count(o.ingredient_id) AS matched, count(*) FILTER (o.ingredient_id IS NULL AND u.credit IS NOT NULL) AS substituted, count(*) FILTER (o.ingredient_id IS NULL AND u.credit IS NULL) AS missing, sum(w.weight) AS tw,
+    sum(CASE WHEN o.ingredient_id IS NOT NULL THEN w.weight WHEN u.credit IS NOT NULL THEN w.weight * u.credit ELSE 0 END) AS mw, count(*) FILTER (w.core AND NOT w.staple) AS ct,
+    count(*) FILTER (w.core AND NOT w.staple AND (o.ingredient_id IS NOT NULL OR u.credit IS NOT NULL)) AS cm
+  FROM bridge b JOIN w USING (ingredient_id) LEFT JOIN owned o USING (ingredient_id) LEFT JOIN sub_ids u USING (ingredient_id) GROUP BY b.recipe_id),
+s AS (SELECT *, mw / tw AS wm, CASE WHEN ct = 0 THEN 1.0 ELSE cm / ct::DOUBLE END AS core, 1 - (ct - cm) / greatest(ct, 1)::DOUBLE AS feas, round(matched / (matched + substituted + missing)::DOUBLE, 4) AS match_rate FROM c WHERE matched + substituted > 0),
+scored AS (SELECT s.recipe_id, r.category, r.method, s.matched::BIGINT AS matched, s.substituted::BIGINT AS substituted, s.match_rate, round(0.45 * wm + 0.25 * core + 0.20 * feas + 0.10 / (1 + ln(1 + missing)), 4) AS score, round(wm, 4) AS weighted_rate, round(core, 4) AS core_coverage, round(feas, 4) AS feasibility FROM s JOIN recipe r USING (recipe_id))"""
 
 
-@query("recommend_weighted", f"WITH {SCORE_SQL} SELECT * FROM scored WHERE score >= 0.3 ORDER BY score DESC, recipe_id LIMIT 200")
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every recipe's score; what is missing counts by the credit of its substitute among what is owned."""
+    recipe, ingr, bridge, owned = recipe_tables(spark, sf_dir)
+    names = ingr.select("ingredient_id", F.col("name").alias("missing"))
+    have = owned.join(ingr, "ingredient_id").select("name").distinct()
+    subs = recommendation.substitutes(substitution_edges(ingr), ingr.select("name").distinct(), have)
+    got = recommendation.composite(bridge, weighted(spark, sf_dir), owned, names.join(subs, "missing").select("ingredient_id", "credit"))
+    return got.join(recipe, "recipe_id")
+
+
+def recommended(scored: DataFrame, top_k: int = 10, category: str | None = None, method: str | None = None, min_score: float = 0.0, min_match_rate: float = 0.0, diversity: bool = True) -> DataFrame:
+    """The best recipes of scored (recipe_id, category, method, method_code if there is one, score, match_rate), best first.
+
+    method may be a name or a code, whatever the code's case. With diversity a category has at most a third of top_k, three
+    at least, unless too few others are left.
+    """
+    checked(top_k=(top_k, 1, 100), min_score=(min_score, 0, 1), min_match_rate=(min_match_rate, 0, 1))
+    kept = scored.where((F.col("score") >= min_score) & (F.col("match_rate") >= min_match_rate))
+    if category:
+        kept = kept.where(F.col("category") == category)
+    if method:
+        code = F.upper("method_code") if "method_code" in scored.columns else F.lit("")
+        kept = kept.where((F.col("method") == method.strip()) | (code == method.strip().upper()))
+    order = (F.desc("score"), F.col("recipe_id"))
+    return ranking.quota_top(kept, "category", top_k, max(3, top_k // 3), *order) if diversity else ranking.top(kept, top_k, *order)
+
+
+SHOWN = ["recipe_id", "category", "matched", "substituted", "score", "weighted_rate", "core_coverage", "feasibility"]
+
+
+@query("recommend_weighted", f"WITH {SCORE_SQL} SELECT {', '.join(SHOWN)} FROM scored WHERE score >= 0.3 ORDER BY score DESC, recipe_id LIMIT 100")
 def recommend_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.top(scored(spark, sf_dir).where("score >= 0.3"), 200, F.desc("score"), F.col("recipe_id"))
+    return recommended(scored(spark, sf_dir), 100, min_score=0.3, diversity=False).select(*SHOWN)
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    recipe, _, bridge, owned = recipe_tables(spark, sf_dir)
-    got = recommendation.composite(bridge, weighted(spark, sf_dir), owned)
-    return got.join(recipe.select("recipe_id", "category"), "recipe_id").select("recipe_id", "category", "matched", "score", "weighted_rate", "core_coverage", "feasibility")
+@query("recommend_filtered", f"WITH {SCORE_SQL} SELECT {', '.join(SHOWN)} FROM scored WHERE category = '5-LOW' AND method = 'O' AND match_rate >= 0.2 AND score >= 0.1 ORDER BY score DESC, recipe_id LIMIT 20")
+def recommend_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recommended(scored(spark, sf_dir), 20, "5-LOW", "O", 0.1, 0.2, diversity=False).select(*SHOWN)
 
 
 @query("recommend_diverse_topk", f"""WITH {SCORE_SQL}, q AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY score DESC, recipe_id) AS k FROM scored)
 SELECT recipe_id, category, score FROM q ORDER BY CASE WHEN k > 4 THEN 1 ELSE 0 END, score DESC, recipe_id LIMIT 12""")
 def recommend_diverse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.quota_top(scored(spark, sf_dir), "category", 12, max(3, 12 // 3), F.desc("score"), F.col("recipe_id")).select("recipe_id", "category", "score")
+    return recommended(scored(spark, sf_dir), 12).select("recipe_id", "category", "score")
 
 
 @query("recommend_inventory_urgency", f"""WITH {RECIPE_SQL},
