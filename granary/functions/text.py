@@ -100,3 +100,12 @@ def iso_date(year: Column, month: Column, day: Column) -> Column:
 def find_date(c: Column, patterns: list[str]) -> Column:
     """The first valid date by patterns of three groups (year, month, day), tried in order."""
     return F.coalesce(*[iso_date(*[F.regexp_extract(c, p, g) for g in (1, 2, 3)]) for p in patterns])
+
+
+def all_dates(c: Column, patterns: list[str]) -> Column:
+    """All valid dates in the text by patterns of three groups (year, month, day)."""
+    found = []
+    for p in patterns:
+        y, m, d = (F.regexp_extract_all(c, F.lit(p), g) for g in (1, 2, 3))
+        found.append(F.transform(F.arrays_zip(y.alias("y"), m.alias("m"), d.alias("d")), lambda x: iso_date(x["y"], x["m"], x["d"])))
+    return F.filter(F.concat(*found), lambda x: x.isNotNull())

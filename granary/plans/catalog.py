@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import extras, matching, monitor, projections, receipts, recipe_queries, recipes, recommend, shelf, silver  # noqa: F401
+from . import extras, matching, monitor, projections, receipt_queries, receipts, recipe_queries, recipes, recommend, shelf, silver  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

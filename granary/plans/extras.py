@@ -64,9 +64,19 @@ def stream_endpoint_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "endpoint", "n", "errors")
 
 
-@query("stream_job_states", "SELECT user_id AS trace_id, count(*) FILTER (event_type <> 'view')::BIGINT AS updates FROM events GROUP BY user_id")
+@query("stream_job_states", "SELECT user_id AS trace_id, arg_max(CASE WHEN event_type = 'view' THEN 'pending' WHEN event_type = 'error' THEN 'failed' ELSE 'running' END, event_id) AS status, count(*) FILTER (event_type <> 'view')::BIGINT AS updates, count(*)::BIGINT AS seen FROM events GROUP BY user_id")
 def stream_job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyed job states kept over a stream: every event of a job but views updates it."""
-    events = streams.file_stream(spark, sf_dir, "events").select(F.col("user_id").alias("trace_id"), F.when(F.col("event_type") == "view", "pending").otherwise("running").alias("status"), F.col("event_id").alias("seq"))
+    events = streams.file_stream(spark, sf_dir, "events").select(F.col("user_id").alias("trace_id"), F.when(F.col("event_type") == "view", "pending").when(F.col("event_type") == "error", "failed").otherwise("running").alias("status"), F.col("event_id").alias("seq"))
     last = streams.run_to_end(streams.job_states(events), "update")
-    return last.groupBy("trace_id").agg(F.max_by("updates", "seen").alias("updates"))
+    return last.groupBy("trace_id").agg(F.max_by("status", "seen").alias("status"), F.max_by("updates", "seen").alias("updates"), F.max("seen").alias("seen"))
+
+
+@query("stream_sessions", """WITH e AS (SELECT user_id, ts::TIMESTAMP AS t, lag(ts::TIMESTAMP) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events),
+s AS (SELECT user_id, t, sum(CASE WHEN before IS NULL OR t - before >= INTERVAL 12 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM e)
+SELECT user_id, count(DISTINCT k)::BIGINT AS sessions, count(*)::BIGINT AS n FROM s GROUP BY user_id""")
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stretches of a user's events less than twelve hours apart, from a stream run to its end."""
+    log = streams.file_stream(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "user_id")
+    got = streams.run_to_end(streams.sessions(log, "user_id", "12 hours", watermark="36500 days"), "complete")
+    return got.groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("n"))

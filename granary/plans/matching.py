@@ -244,11 +244,12 @@ def product_match_fuzzy_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.join(dim.select(F.col("pos").alias("p"), F.col("name").alias("other")), F.col("m.pos") == F.col("p")).where("name <> other").select("name", "other", F.round("m.score", 4).alias("similarity"))
 
 
-@query("levenshtein_char_accuracy", "WITH n AS (SELECT DISTINCT p_name AS name FROM part) SELECT a.name AS reference, b.name AS heard, round(greatest(0, 1 - levenshtein(replace(a.name, ' ', ''), replace(b.name, ' ', '')) / length(replace(a.name, ' ', ''))::DOUBLE), 4) AS accuracy FROM n a JOIN n b ON split_part(a.name, ' ', 2) = split_part(b.name, ' ', 2)")
+@query("levenshtein_char_accuracy", "SELECT a.p_partkey, a.p_name AS reference, b.p_name AS heard, round(greatest(0, 1 - levenshtein(replace(a.p_name, ' ', ''), replace(b.p_name, ' ', '')) / length(replace(a.p_name, ' ', ''))::DOUBLE), 4) AS accuracy FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1")
 def levenshtein_char_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = table(spark, sf_dir, "part").select("p_name").distinct().withColumn("noun", F.split_part("p_name", F.lit(" "), F.lit(2)))
-    pairs = names.withColumnRenamed("p_name", "reference").join(names.withColumnRenamed("p_name", "heard"), "noun")
-    return pairs.select("reference", "heard", F.round(S.char_accuracy(F.col("reference"), F.col("heard")), 4).alias("accuracy"))
+    """Every name against the one that follows it, as what was read of it."""
+    names = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("reference"))
+    heard = names.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("reference").alias("heard"))
+    return names.join(heard, "p_partkey").select("p_partkey", "reference", "heard", F.round(S.char_accuracy(F.col("reference"), F.col("heard")), 4).alias("accuracy"))
 
 
 MADE = ["국산 두부", "신라면 컵", "초코 쿠키", "종량제 봉투", "서울 우유", "깐 마늘", "S-POINT 적립", "참기름", "에누리", "red box", "1,200원", "GA12345 지점", "캔디", "보험료", "양파 망", "12345678"]
@@ -315,3 +316,18 @@ def mining_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = spark.createDataFrame([], "product_name string, ingredientName string, mapping_source string, similarity double")
     rows = report_rows(mining_groups(items, none, F.lit(False)))
     return rows.select("kind", F.col("rank").cast("int").alias("rank"), F.regexp_extract("line", "^- `([^`]*)`", 1).alias("name"))
+
+
+PRODUCTS = ["두부", "국산 콩 두부", "서울우유", "깐 마늘", "종량제 봉투", "초코 쿠키", "zzz"]
+PREDICTED = [("두부", "normalized_exact_match", "MAPPED"), ("두부", "fuzzy_similarity", "MAPPED"), ("우유", "receipt_rule_product_mapping", "MAPPED"), ("마늘", "normalized_exact_match", "MAPPED"), (None, None, "EXCLUDED"), (None, None, "UNMAPPED"), (None, None, "UNMAPPED")]
+
+
+@query("predicted_products", f"SELECT p_partkey, {pick_sql(PRODUCTS, 'p_partkey')} AS product_name, {pick_sql([x[0] or '-' for x in PREDICTED], 'p_partkey')} AS ingredient, {pick_sql([x[1] or '-' for x in PREDICTED], 'p_partkey')} AS source, {pick_sql([x[2] for x in PREDICTED], 'p_partkey')} AS mapping_status FROM part")
+def predicted_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole matching of products, whose answers for these names are known."""
+    rules = Rules(non_items=[("packaging", ["봉투"], [])], aliases=[("깐 마늘", "마늘")], mappings=[("서울우유", "우유")])
+    ingredients = spark.createDataFrame([(0, "i0", "두부", "가공식품"), (1, "i1", "우유", "유제품"), (2, "i2", "마늘", "채소/과일"), (3, "i3", "돼지고기", "정육/계란")], "pos long, ingredientId string, ingredientName string, category string")
+    named = table(spark, sf_dir, "part").select("p_partkey", pick(PRODUCTS, F.col("p_partkey")).alias("product_name"))
+    got = predict(named.select("product_name").distinct(), ingredients, rules)
+    dash = lambda c: F.coalesce(c, F.lit("-"))
+    return named.join(got, "product_name").select("p_partkey", "product_name", dash("ingredientName").alias("ingredient"), dash("mapping_source").alias("source"), "mapping_status")

@@ -114,6 +114,25 @@ def answered_items(answers: DataFrame) -> DataFrame:
     return merging.first_wins(good, ["receipt_id", "product_name", "amount_krw"], "pos")
 
 
+def fallback_items(items: DataFrame) -> DataFrame:
+    """What is shown without a model's answer: product_name, amount_krw and notes of the rules' items (receipt_id, pos,
+    product_name or name, amount_krw, notes), the first of equal names with equal amounts."""
+    from ..operators import merging
+
+    amount = F.regexp_replace(F.trim(F.col("amount_krw").cast("string")), ",", "")
+    name = F.trim(F.coalesce(F.nullif("product_name", F.lit("")), F.col("name"), F.lit("")))
+    rows = items.select("receipt_id", "pos", name.alias("product_name"), F.when(amount.rlike(r"^[+-]?\d+$"), amount.try_cast("long")).alias("amount_krw"), F.trim(F.coalesce("notes", F.lit(""))).alias("notes"))
+    return merging.first_wins(rows.where("product_name <> ''"), ["receipt_id", "product_name", "amount_krw"], "pos")
+
+
+def enriched(recommendations: DataFrame, answers: DataFrame) -> DataFrame:
+    """Recommendations (recipe_id, reason, substitutes) with what a provider says instead (answers: the same columns, null
+    where it says nothing), and who said it (reason_source)."""
+    said_ = answers.select("recipe_id", F.nullif(F.trim("reason"), F.lit("")).alias("_reason"), F.col("substitutes").alias("_substitutes"))
+    met = recommendations.join(said_, "recipe_id", "left")
+    return met.withColumns({"reason_source": F.when(F.col("_reason").isNotNull(), "provider").otherwise("rules"), "reason": F.coalesce("_reason", "reason"), "substitutes": F.coalesce("_substitutes", "substitutes")}).drop("_reason", "_substitutes")
+
+
 def quality_score(edge_mean: Column, edge_std: Column, std: Column) -> Column:
     """How clear an image is, 0 to 1, from the mean and deviation of its edges and the deviation of its grey values."""
     unit = lambda c: F.when(F.isnan(c) | c.isin(float("inf"), float("-inf")), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .made import pick, pick_sql
 from .registry import query, table
 
 # What may not be shared, by category; what needs a review.
@@ -116,18 +117,46 @@ def inventory_risk(df: DataFrame, as_of: Column, purchased: str = "purchased_at"
     return got.withColumn("cta", cta)
 
 
-@query("sharing_filter", "SELECT p_partkey, CASE WHEN regexp_matches(p_name, 'plate|gear') THEN 'blocked' WHEN regexp_matches(p_name, 'red|large') THEN 'review_required' ELSE 'allowed' END AS status, nullif(coalesce(nullif(regexp_extract(p_name, '(plate|gear)', 1), ''), regexp_extract(p_name, '(red|large)', 1)), '') AS matched FROM part")
+SHARED = ["김치찌개", "생닭 1kg", "개봉우유", "수제 잼", "사과", "냉동 만두", "홈메이드 샐러드", "라면", "뜯은 과자"]
+SHARED_SQL = f"""made AS (SELECT p_partkey, {pick_sql(SHARED, 'p_partkey')} AS name FROM part),
+hit AS (SELECT *, nullif(regexp_extract(name, '({'|'.join(k for own in BLOCKED.values() for k in own)})', 1), '') AS b, nullif(regexp_extract(name, '({'|'.join(REVIEW)})', 1), '') AS d FROM made),
+shared AS (SELECT p_partkey, name, CASE WHEN b IS NOT NULL THEN 'blocked' WHEN d IS NOT NULL THEN 'review_required' ELSE 'allowed' END AS status, coalesce(b, d) AS matched FROM hit)"""
+
+
+@query("sharing_filter", f"WITH {SHARED_SQL} SELECT p_partkey, status, matched FROM shared")
 def sharing_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hit, doubt = (F.nullif(F.regexp_extract("p_name", p, 1), F.lit("")) for p in ("(plate|gear)", "(red|large)"))
-    status = F.when(hit.isNotNull(), "blocked").when(doubt.isNotNull(), "review_required").otherwise("allowed")
-    return table(spark, sf_dir, "part").select("p_partkey", status.alias("status"), F.coalesce(hit, doubt).alias("matched"))
+    named = table(spark, sf_dir, "part").select("p_partkey", pick(SHARED, F.col("p_partkey")).alias("name"))
+    return sharing_status(named, "name").select("p_partkey", "status", "matched")
 
 
-@query("sharing_summary", "SELECT count(*)::BIGINT AS total, count(*) FILTER (regexp_matches(p_name, 'plate|gear'))::BIGINT AS blocked, count(*) FILTER (NOT regexp_matches(p_name, 'plate|gear') AND regexp_matches(p_name, 'red|large'))::BIGINT AS review_required, count(*) FILTER (NOT regexp_matches(p_name, 'plate|gear|red|large'))::BIGINT AS allowed FROM part")
+@query("sharing_summary", f"WITH {SHARED_SQL} SELECT count(*)::BIGINT AS total, count(*) FILTER (status = 'blocked')::BIGINT AS blocked, count(*) FILTER (status = 'review_required')::BIGINT AS review_required, count(*) FILTER (status = 'allowed')::BIGINT AS allowed FROM shared")
 def sharing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharing_counts(sharing_filter(spark, sf_dir))
 
 
+KEPT = ["국산 계란 10구", "삼겹살", "연어회", "양파", "우유", "두부", "이름 없는 것", "쌀 10kg", "김치"]
+KEPT_IN, KEPT_AS = ["냉장", "냉동", "상온", "진공"], ["정육/계란", "해산물", "", "소스", "유제품", None]
+
+
+def days_sql(days: dict[str, int]) -> str:
+    return "CASE storage " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in days.items()) + f" ELSE {days.get('냉장', FALLBACK_DAYS)} END"
+
+
+KEEP_SQL = f"""kept AS (SELECT l_orderkey, l_linenumber, {pick_sql(KEPT, 'l_partkey')} AS name, {pick_sql(KEPT_IN, 'l_linenumber')} AS storage, ([{', '.join('NULL' if c is None else f"'{c}'" for c in KEPT_AS)}])[l_orderkey % {len(KEPT_AS)} + 1] AS category, CASE WHEN l_linenumber = 3 THEN 'soon' ELSE strftime(l_shipdate, '%Y-%m-%d') END AS bought FROM lineitem),
+days AS (SELECT *, CASE {' '.join(f"WHEN contains(name, '{i}') THEN {days_sql(d)}" for _, items in SHELF_LIFE.values() for i, d in items.items())} {' '.join(f"WHEN coalesce(category, '') <> '' AND (contains(category, '{c}') OR contains('{c}', category)) THEN {days_sql(d)}" for c, (d, _) in SHELF_LIFE.items())} ELSE {FALLBACK_DAYS} END AS shelf_days FROM kept)"""
+
+
+@query("expiry_dates", f"WITH {KEEP_SQL}, e AS (SELECT *, coalesce(try_cast(bought AS DATE), DATE '1996-06-15') + shelf_days::INT AS until FROM days) SELECT l_orderkey, l_linenumber::INT AS l_linenumber, shelf_days::INT AS shelf_days, strftime(until, '%Y-%m-%d') AS expiry_date, floor((epoch(until::TIMESTAMP) - epoch(TIMESTAMP '1996-06-15 10:00:00')) / 86400)::INT AS d_day, CASE WHEN until <= DATE '1996-06-15' THEN 'expired' WHEN until - DATE '1996-06-15' <= 2 THEN 'danger' WHEN until - DATE '1996-06-15' <= 4 THEN 'caution' ELSE 'safe' END AS risk FROM e")
+def expiry_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first engine over lines as stock: by item, else by category, counted in whole days from ten in the morning."""
+    line = table(spark, sf_dir, "lineitem")
+    category = F.get(F.array(*[F.lit(c) for c in KEPT_AS]), (F.col("l_orderkey") % len(KEPT_AS)).cast("int"))
+    bought = F.when(F.col("l_linenumber") == 3, "soon").otherwise(F.date_format("l_shipdate", "yyyy-MM-dd"))
+    kept = line.select("l_orderkey", "l_linenumber", pick(KEPT, F.col("l_partkey")).alias("item_name"), pick(KEPT_IN, F.col("l_linenumber")).alias("storage_method"), category.alias("category"), bought.alias("purchase_date"))
+    got = expiry(kept, F.lit("1996-06-15 10:00:00").cast("timestamp"))
+    return got.select("l_orderkey", F.col("l_linenumber").cast("int").alias("l_linenumber"), "shelf_days", F.date_format("expiry_date", "yyyy-MM-dd").alias("expiry_date"), "d_day", "risk")
+
+
 LINE_SQL = """line AS (SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate::DATE AS bought, CASE l_returnflag WHEN 'A' THEN 'dairy' WHEN 'R' THEN 'meat' ELSE 'sauce' END AS category, CASE WHEN l_linenumber % 2 = 0 THEN 'refrigerated' ELSE 'room' END AS storage FROM lineitem),
 r AS (SELECT *, CASE WHEN category = 'dairy' AND storage = 'refrigerated' THEN 7 WHEN category = 'meat' AND storage = 'refrigerated' THEN 3 WHEN category = 'sauce' AND storage = 'room' THEN 30 WHEN category = 'sauce' THEN 14 ELSE 7 END AS days FROM line),
 e AS (SELECT *, days - (DATE '1998-01-10' - bought) AS left_days FROM r)"""

@@ -70,6 +70,22 @@ def summary(results: DataFrame) -> DataFrame:
     return results.agg(F.count("*").alias("image_count"), *[share(f"{c}_match").alias(f"{c}_accuracy") for c in ("vendor_name", "purchased_at", "payment_amount")], share("item_name_f1").alias("item_name_f1_avg"))
 
 
+def synthetic(spark: SparkSession, n: int, stores: list[str], catalog: list[tuple[str, int, str]], seed: int = 0, most: int = 15) -> DataFrame:
+    """n made receipts: receipt_id, store_name, date, items (3 to `most` products of the catalog of names, prices and categories,
+    each with a quantity of mostly one) and their total. The same seed gives the same receipts."""
+    goods = F.array(*[F.struct(F.lit(a).alias("product_name"), F.lit(b).alias("unit_price"), F.lit(c).alias("category")) for a, b, c in catalog])
+    drawn = lambda salt: (F.pmod(F.xxhash64("id", F.lit(seed), salt), F.lit(1_000_003)) / 1_000_003)
+    count = F.least(F.lit(len(catalog)), (3 + F.floor(drawn(F.lit("n")) * (most - 2))).cast("int"))
+    shuffled = F.transform(F.sort_array(F.transform(F.sequence(F.lit(0), F.lit(len(catalog) - 1)), lambda k: F.struct(drawn(k).alias("r"), k.alias("k")))), lambda s: s["k"])
+    luck = lambda k: drawn(F.concat(F.lit("q"), k.cast("string")))
+    quantity = lambda k: F.when(luck(k) < 0.70, 1).when(luck(k) < 0.90, 2).when(luck(k) < 0.97, 3).otherwise(4)
+    items = F.transform(F.slice(shuffled, F.lit(1), count), lambda k: F.struct(F.get(goods, k)["product_name"].alias("product_name"), F.get(goods, k)["category"].alias("category"), F.get(goods, k)["unit_price"].alias("unit_price"), quantity(k).alias("quantity"), (F.get(goods, k)["unit_price"] * quantity(k)).alias("total_price")))
+    day = lambda salt, low, span: (low + F.floor(drawn(F.lit(salt)) * span)).cast("int")
+    date = F.format_string("%d-%02d-%02d %02d:%02d", day("y", 2020, 7), day("m", 1, 12), day("d", 1, 28), day("h", 8, 15), day("i", 0, 60))
+    made = spark.range(n).select(F.col("id").alias("receipt_id"), F.get(F.array(*[F.lit(s) for s in stores]), F.floor(drawn(F.lit("s")) * len(stores)).cast("int")).alias("store_name"), date.alias("date"), items.alias("items"))
+    return made.withColumn("total", F.aggregate("items", F.lit(0), lambda a, i: a + i["total_price"]))
+
+
 # Queries: an order as an image's receipt, its lines as items.
 
 NAMES = ["우유 1L", "두부", "초코 볼", "Red Box", "깻잎", "계란 10구", "참치캔"]
