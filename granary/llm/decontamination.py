@@ -206,13 +206,15 @@ class Index:
         tried.update(zip(*(x.tolist() for x in self.sharing(h, row))))
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
         for k, s, r in sorted(tried):
-            # The fingerprint's window began some words later; words beyond the document's edge are left out.
-            lo, hi = max(s, int(row_begin[r])), min(s + self.length[k], int(row_begin[r + 1]))
-            lo, hi = self.trimmed(k, h, lo, max(lo, hi))
-            if hi > lo:
-                sim = self.similarity(k, h[lo:hi])
-                if sim >= self.threshold and (sim, -(lo - row_begin[r])) > best.get((r, k), (-1.0, 0, 0))[:2]:
-                    best[r, k] = (sim, -int(lo - row_begin[r]), hi - lo)
+            # Words put in or left out move one end of a passage, so the window is tried with some words more on either side
+            # too; words beyond the document's edge are left out.
+            for slack in (0, max(STRIDE, self.length[k] // 8)):
+                lo, hi = max(s - slack, int(row_begin[r])), min(s + self.length[k] + slack, int(row_begin[r + 1]))
+                lo, hi = self.trimmed(k, h, lo, max(lo, hi))
+                if hi > lo:
+                    sim = self.similarity(k, h[lo:hi])
+                    if sim >= self.threshold and (sim, -(lo - row_begin[r])) > best.get((r, k), (-1.0, 0, 0))[:2]:
+                        best[r, k] = (sim, -int(lo - row_begin[r]), hi - lo)
         for (r, k), (sim, s, n) in sorted(best.items()):
             yield r, k, -s, n, sim
 
