@@ -23,6 +23,8 @@ SAMPLED = 40
 #: Text bytes for each bucket of hashes, whose hashes are about as many bytes; a task sorts one bucket at a time. Beyond
 #: MOST_BUCKETS buckets grow with the table.
 HASHED_BYTES, MOST_BUCKETS = 16 << 20, 200_000
+#: Rows of a few numbers that are sent to every task, some ten megabytes; tables are counted before.
+FEW = 250_000
 #: Partitions of an exchange at most; a partition holds several ranges or buckets, one after the other, beyond that.
 MOST_PARTITIONS = 20_000
 LEAST_ID = -(2**63)
@@ -60,9 +62,12 @@ def long_id(id_col: str) -> Column:
 def joined(many: DataFrame, few: DataFrame, key: str, weight: str, total: int) -> DataFrame:
     """many joined to few on a key of which few has one row and `weight` says how many rows of many have it, `total` in all.
 
-    Rows of few that stand for over a thousandth of many, of which there are fewer than a thousand, are sent to every
-    task; the others are met by a shuffle in which no key is hot.
+    few is stored and counted first. FEW rows or less are sent to every task. Of more, those that stand for over a
+    thousandth of many, fewer than a thousand, are sent; the others are met by a shuffle in which no key is hot.
     """
+    few = stored(few)
+    if few.count() <= FEW:
+        return many.join(F.broadcast(few), key)
     limit = max(total // 1000, 100)
     hot = F.broadcast(few.where(F.col(weight) > limit))
     rest = many.join(hot.select(key), key, "left_anti").join(few.where(F.col(weight) <= limit), key)

@@ -7,32 +7,41 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Into how many parts the edges of one node are dealt.
-SPREAD = 64
+#: Into how many parts the edges of one node are dealt, where some node has over HUB edges and a hundredth of all.
+SPREAD, HUB = 64, 10_000
 
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
 
 
-def _with_least(edges: DataFrame) -> DataFrame:
-    """edges with m, the least of a and its neighbours. A hub's edges are dealt to SPREAD keys, so no task gets all of them."""
+def _has_hubs(edges: DataFrame, total: int) -> bool:
+    """Whether some node has an unfair share of the edges."""
+    return not _both(edges).groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > max(HUB, total // 100)).isEmpty()
+
+
+def _with_least(edges: DataFrame, hubs: bool) -> DataFrame:
+    """edges with m, the least of a and its neighbours. Where there are hubs, edges are dealt to SPREAD keys for each node."""
+    if not hubs:
+        return edges.join(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "a")
     salted = edges.withColumn("s", F.pmod(F.xxhash64("b"), F.lit(SPREAD)))
     parts = salted.groupBy("a", "s").agg(F.min("b").alias("low"))
     whole = parts.groupBy("a").agg(F.least(F.min("low"), F.col("a")).alias("m"))
     return salted.join(parts.select("a", "s").join(whole, "a"), ["a", "s"]).drop("s")
 
 
-def _large(edges: DataFrame) -> DataFrame:
+def _both(edges: DataFrame) -> DataFrame:
+    return edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
+def _large(edges: DataFrame, hubs: bool) -> DataFrame:
     """Every neighbour above a node moves to the least of the node and its neighbours."""
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    return _with_least(both).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return _with_least(_both(edges), hubs).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _small(edges: DataFrame) -> DataFrame:
+def _small(edges: DataFrame, hubs: bool) -> DataFrame:
     """Every neighbour below a node, and the node, move to the least of them."""
-    low = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    moved = _with_least(low)
+    moved = _with_least(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), hubs)
     up = moved.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
     return up.unionByName(moved.select("a", F.col("m").alias("b")))
 
@@ -45,8 +54,9 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now = common.stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = _state(now)
+    hubs = _has_hubs(now, state[0])
     while state[0]:
-        before, now = now, common.stored(_small(_large(now)).distinct())
+        before, now = now, common.stored(_small(_large(now, hubs), hubs).distinct())
         common.discard(before)
         if (after := _state(now)) == state:
             break

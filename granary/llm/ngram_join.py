@@ -22,7 +22,9 @@ TOLERANCE = 1e-6
 STEP = 25
 #: Distinct sets, and bytes of their texts, that are compared with one another in one task; larger candidate groups are
 #: split into pairs of blocks. Of signatures alone, SIGNED are compared in one task.
-BLOCK, BLOCK_BYTES, SIGNED = 512, 16 << 20, 4096
+BLOCK, BLOCK_BYTES, SIGNED = 512, 16 << 20, 1024
+#: A group of more blocks is cut down by signatures first, since chance bands may have chained unlike texts together.
+MANY = 16
 U = np.uint64
 _rng = np.random.default_rng(5)
 _XOR = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
@@ -263,16 +265,15 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     through others; a row alone is its own class, and a class of null ids has a null class_id.
 
     Equal sets become one node, counted before the shuffle. Nodes that share a MinHash band fall into one candidate
-    group; a group of over BLOCK nodes or BLOCK_BYTES is first cut down to what pairs of likely signatures, band by band,
-    hold together. A group's pairs are pruned by the Bayesian bound and verified on the whole texts; a large one is dealt
+    group; a group of over MANY blocks, of BLOCK nodes or BLOCK_BYTES, is first cut down to what pairs of likely signatures,
+    band by band, hold together. A group's pairs are pruned by the Bayesian bound and verified on the whole texts; a large one is dealt
     out as pairs of blocks, and a task returns one row for each node at most, so no pair is ever a row. One text of each
     node is fetched by id and a hash of the text, so rows that share an id, or have none, meet their own text alone. An
     empty table gives no rows; only the id and the text are read, whatever other columns are called.
     """
     features, named = _classes(docs, id_col, text_col, threshold, tolerance)
-    first = named.groupBy("component").agg(F.min("id").alias("class_id"), F.count("*").alias("nodes"))
-    classed = common.joined(named, first, "component", "nodes", named.count())
-    final = common.stored(classed.select("node", "copies", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links")))
+    first = named.groupBy("component").agg(F.min("id").alias("class_id"))
+    final = named.join(first, "component").select("node", "copies", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"))
     shown = lambda c: F.nullif(F.col(c), F.lit(common.LEAST_ID))
     got = common.joined(features.select("id", "node"), final, "node", "copies", features.count())
     return got.select(shown("id").cast(docs.schema[id_col].dataType).alias(id_col), shown("class_id").alias("class_id"), "n_links")
@@ -283,42 +284,46 @@ def _narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(common.long_id(id_col).alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
 
 
-def _texts(nodes: DataFrame, rows: DataFrame, features: DataFrame) -> DataFrame:
-    """nodes (id, mark) with the text of each; where rows repeat an id and its text, of one of them."""
-    met = rows.join(nodes, ["id", "mark"])
-    repeated = features.groupBy("id", "mark").agg(F.count("*").alias("n")).where("n > 1").select("id", "mark")
-    if repeated.isEmpty():
+def _texts(nodes: DataFrame, rows: DataFrame, repeated: DataFrame | None) -> DataFrame:
+    """nodes (id, mark) with the text of each; of the rows that `repeated` says come more than once, of one of them.
+
+    FEW nodes or less are sent to the texts; of more, texts and nodes are shuffled.
+    """
+    wanted = common.stored(nodes)
+    met = rows.join(F.broadcast(wanted) if wanted.count() <= common.FEW else wanted, ["id", "mark"])
+    if repeated is None:
         return met
     once = met.join(repeated, ["id", "mark"], "left_anti")
     more = met.join(repeated, ["id", "mark"], "left_semi").groupBy(*[c for c in met.columns if c != "text"]).agg(F.min("text").alias("text"))
     return once.unionByName(more)
 
 
-def _candidates(nodes: DataFrame, rows: DataFrame, features: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+def _candidates(nodes: DataFrame, rows: DataFrame, repeated: DataFrame | None, threshold: float, tolerance: float) -> DataFrame:
     """node, component and blocks of every node that may have a link, and into how many blocks its component is split."""
     total = nodes.count()
     banded = nodes.select("node", F.explode("bands").alias("band"))
     least = banded.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1")
     edges = common.joined(banded, least, "band", "n", BANDS * total).select(F.col("node").alias("a"), F.col("least").alias("b"))
-    grouped = common.stored(_split(components(edges), nodes, total))
-    if grouped.where("blocks > 1").isEmpty():
+    grouped = common.stored(_split(components(edges), nodes))
+    large = grouped.where(F.col("blocks") > MANY)
+    if large.isEmpty():
         return grouped
-    held = nodes.drop("bands").join(grouped.where("blocks > 1").select("node"), "node").select("id", "mark", "node")
-    signed = _signed(_texts(held, rows, features).select("node", "text"))
-    sizes = banded.join(grouped.where("blocks > 1").select("node"), "node").groupBy("band").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / SIGNED).cast("int"))
+    held = nodes.drop("bands").join(large.select("node"), "node").select("id", "mark", "node")
+    signed = _signed(_texts(held, rows, repeated).select("node", "text"))
+    sizes = banded.join(large.select("node"), "node").groupBy("band").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / SIGNED).cast("int"))
     spots = _dealt(common.joined(signed, sizes, "band", "n", BANDS * total), "band")
     n = max(common.partitions(nodes.sparkSession), 1)
     likely = _likely(spots.repartition(n, "spot").sortWithinPartitions("spot").select("spot", "node", "sig", "block", "low", "high"), threshold, tolerance)
-    again = _split(components(likely.select(F.col("node").alias("a"), F.col("root").alias("b"))), nodes, total)
-    return common.stored(grouped.where("blocks = 1").unionByName(again))
+    again = _split(components(likely.select(F.col("node").alias("a"), F.col("root").alias("b"))), nodes)
+    return common.stored(grouped.where(F.col("blocks") <= MANY).unionByName(again))
 
 
-def _split(grouped: DataFrame, nodes: DataFrame, total: int) -> DataFrame:
+def _split(grouped: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, component, and into how many blocks its component is split by its nodes and their bytes."""
     own = grouped.join(nodes.select("node", "bytes"), "node")
     sizes = own.groupBy("component").agg(F.count("*").alias("n"), F.sum("bytes").alias("b"))
     blocks = sizes.select("component", "n", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("b") / BLOCK_BYTES, F.lit(1.0))).cast("int").alias("blocks"))
-    return common.joined(grouped, blocks, "component", "n", total).select("node", "component", "blocks")
+    return grouped.join(blocks, "component").select("node", "component", "blocks")
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, tolerance: float) -> tuple[DataFrame, DataFrame]:
@@ -328,9 +333,11 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, tole
     rows = _narrow(docs, id_col, text_col)
     features = common.stored(_features(rows))
     nodes = common.stored(features.groupBy("node").agg(F.min(F.struct("id", "mark")).alias("k"), F.count("*").alias("copies"), F.first("bytes").alias("bytes"), F.first("bands").alias("bands")).select("node", "k.id", "k.mark", "copies", "bytes", "bands"))
-    members = _candidates(nodes, rows, features, threshold, tolerance)
+    repeated = common.stored(features.groupBy("id", "mark").agg(F.count("*").alias("n")).where("n > 1").select("id", "mark"))
+    repeated = None if repeated.isEmpty() else repeated
+    members = _candidates(nodes, rows, repeated, threshold, tolerance)
     chosen = members.join(nodes.select("node", "id", "mark", "copies"), "node")
-    spots = _dealt(_texts(chosen, rows, features), "component").select("spot", "node", "copies", "block", "low", "high", "text")
+    spots = _dealt(_texts(chosen, rows, repeated), "component").select("spot", "node", "copies", "block", "low", "high", "text")
     n = max(common.partitions(spark), 1)
     found = common.stored(_verified(spots.repartition(n, "spot").sortWithinPartitions("spot"), threshold, tolerance))
     classes = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))

@@ -167,6 +167,7 @@ def test_join_of_rows_without_an_id(spark, monkeypatch):
     for signed, block in ((4096, 512), (7, 16)):
         monkeypatch.setattr(ngram_join, "SIGNED", signed)
         monkeypatch.setattr(ngram_join, "BLOCK", block)
+        monkeypatch.setattr(ngram_join, "MANY", 16 if block == 512 else 1)
         assert Counter(r["n_links"] for r in ngram_join.link(df).collect()) == links
     assert all(t.count() == t.select("node").distinct().count() == 150 for t in fetched)
 
@@ -178,6 +179,7 @@ def test_chained_groups_come_apart(spark, monkeypatch):
     rows = [(i, t) for i, t in enumerate(base)] + [(100 + i, t + " tail") for i, t in enumerate(base)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    monkeypatch.setattr(ngram_join, "MANY", 1)
     calls = []
 
     def chained(edges):
