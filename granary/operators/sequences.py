@@ -1,10 +1,7 @@
-"""Ordered-sequence operators: look-ahead pairing, windows between marks, anchored grouping, and per-group Python."""
+"""Ordered-sequence operators: look-ahead pairing, windows between marks, and anchored grouping."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -51,32 +48,3 @@ def anchored_rows(tokens: Column, tolerance: float) -> Column:
 
     rows = F.aggregate(ordered, one, join)
     return F.transform(rows, lambda r: F.struct(r["anchor"].alias("y"), F.array_sort(F.transform(r["own"], lambda t: F.struct(t["x"].alias("kx"), t.alias("t")))).alias("own")))
-
-
-def per_group(df: DataFrame, key: str, order: list[str], work: Callable[[object, list[dict]], list[dict]], schema) -> DataFrame:
-    """work(key, rows in order) for every group, as rows of the schema. A task holds one group at a time.
-
-    For groups that are short by nature, such as the lines of a receipt.
-    """
-    names = [f.name for f in schema.fields]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        kinds = to_arrow_schema(schema)
-        held: list[dict] = []
-        out: list[dict] = []
-        for b in batches:
-            for row in b.to_pylist():
-                if held and row[key] != held[-1][key]:
-                    out += work(held[0][key], held)
-                    held = []
-                held.append(row)
-            if len(out) > 1000:
-                yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in names} for r in out], schema=kinds)
-                out = []
-        if held:
-            out += work(held[0][key], held)
-        yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in names} for r in out], schema=kinds)
-
-    return df.repartition(F.col(key)).sortWithinPartitions(key, *order).mapInArrow(run, schema)
