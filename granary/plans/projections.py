@@ -187,8 +187,8 @@ def header_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return head_rows(lines).select("receipt_id", F.col("line_id").cast("int").alias("line_id"), "text")
 
 
-@query("image_quality", "WITH s AS (SELECT p_partkey, p_size * 2.0::DOUBLE AS em, p_retailprice / 40.0::DOUBLE AS es, p_size + 10.0::DOUBLE AS sd FROM part), q AS (SELECT *, round(0.65::DOUBLE * greatest(0, least(1, (em + es) / 140.0::DOUBLE)) + 0.35::DOUBLE * greatest(0, least(1, sd / 64.0::DOUBLE)), 4) AS score FROM s) SELECT p_partkey, score::DOUBLE AS score, concat_ws(',', CASE WHEN p_partkey % 1000 < 720 THEN 'small_image' END, CASE WHEN sd < 32 THEN 'low_contrast' END, CASE WHEN (em + es) / 140.0 < 0.18 THEN 'blurry' END, CASE WHEN score < 0.25 THEN 'low_quality' END) AS reasons FROM q")
+@query("image_quality", "WITH s AS (SELECT p_partkey, p_size * 2.0::DOUBLE AS em, p_retailprice / 40.0::DOUBLE AS es, p_size + 10.0::DOUBLE AS sd FROM part), q AS (SELECT *, round(0.65::DOUBLE * greatest(0, least(1, (em + es) / 140.0::DOUBLE)) + 0.35::DOUBLE * greatest(0, least(1, sd / 64.0::DOUBLE)), 4) AS score FROM s) SELECT p_partkey, round(score, 1)::DOUBLE AS about, concat_ws(',', CASE WHEN p_partkey % 1000 < 720 THEN 'small_image' END, CASE WHEN sd < 32 THEN 'low_contrast' END, CASE WHEN (em + es) / 140.0 < 0.18 THEN 'blurry' END, CASE WHEN score < 0.25 THEN 'low_quality' END) AS reasons FROM q")
 def image_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     stats = (F.col("p_size") * 2.0, F.col("p_retailprice") / 40.0, F.col("p_size") + 10.0)
-    return part.select("p_partkey", quality_score(*stats).alias("score"), F.array_join(quality_reasons(F.col("p_partkey") % 1000, *stats), ",").alias("reasons"))
+    return part.select("p_partkey", F.round(quality_score(*stats), 1).alias("about"), F.array_join(quality_reasons(F.col("p_partkey") % 1000, *stats), ",").alias("reasons"))
