@@ -241,7 +241,7 @@ def shingle_weights(items: DataFrame, id_col: str, text_col: str) -> tuple[DataF
 
     n = items.count()
     rare = 1 + math.log(n + 1)
-    counted = items.select(F.col(text_col)).mapInArrow(work, "gram long").groupBy("gram").count()
+    counted = items.select(F.col(text_col)).mapInArrow(common.light(work), "gram long").groupBy("gram").count()
     return counted.select("gram", (1 + F.log((n + 1) / (F.col("count") + 1))).alias("weight")), rare
 
 
@@ -308,7 +308,7 @@ def _searcher(index, schema: T.StructType):
             r, *rest = zip(*rows) if rows else ((),) * 5
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(r, pa.int64())), *(pa.array(x, kinds.field(k + 1).type) for k, x in enumerate(rest))], names=kinds.names)
 
-    return work
+    return common.light(work)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -337,4 +337,4 @@ def _keeper(index, at: int):
                 keep[[i + r for r, *_ in found.matches(data[starts[i] : starts[j]], starts[i : j + 1] - starts[i])]] = False
             yield b.filter(pa.array(keep))
 
-    return work
+    return common.light(work)

@@ -143,10 +143,13 @@ def mark_repeats(
             mask &= ~(stays[own.back] & (owner == cut.head(left.column("_range")[0].as_py())))
         if len(h):
             mask |= (np.arange(len(h)) > own.first[own.back]) if within else (owner > owner[own.first][own.back])
-        return finish(t, mask)
+        done = finish(t, mask)
+        del h, second, row, own, before, stays, owner, mask
+        common.give_back()
+        return done
 
     # Both sides read the same columns of the same exchange, so Spark deals the texts out once and reuses it.
-    sent = rows.sortWithinPartitions("_range").mapInArrow(send, "bucket int, _range long, hashes binary, late binary")
+    sent = rows.sortWithinPartitions("_range").mapInArrow(common.light(send), "bucket int, _range long, hashes binary, late binary")
     answers = sent.groupBy("bucket").applyInArrow(answer, "bucket int, _range long, bits binary, only binary")
     return rows.groupBy("_range").cogroup(answers.groupBy("_range")).applyInArrow(settle, schema)
 

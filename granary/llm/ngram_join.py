@@ -110,7 +110,7 @@ def _features(docs: DataFrame) -> DataFrame:
                 own = [pa.array([set_key(s) for s in sets], pa.int64()), pa.array(np.diff(starts[i : j + 1])), pa.array([k if len(s) else [] for k, s in zip(keys.tolist(), sets)], pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in (0, 1)), *own], names=["id", "mark", "node", "bytes", "bands"])
 
-    return docs.mapInArrow(work, "id long, mark long, node long, bytes long, bands array<long>")
+    return docs.mapInArrow(common.light(work), "id long, mark long, node long, bytes long, bands array<long>")
 
 
 def _signed(texts: DataFrame) -> DataFrame:
@@ -125,7 +125,7 @@ def _signed(texts: DataFrame) -> DataFrame:
                 every = [x for r in sig for x in [r.tobytes()] * BANDS]
                 yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(band_keys(sig).ravel()), pa.array(every, pa.binary())], names=["node", "band", "sig"])
 
-    return texts.mapInArrow(work, "node long, band long, sig binary")
+    return texts.mapInArrow(common.light(work), "node long, band long, sig binary")
 
 
 def survivors(a: np.ndarray, b: np.ndarray, same: bool, threshold: float, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
@@ -223,7 +223,7 @@ def _likely(rows: DataFrame, threshold: float, tolerance: float) -> DataFrame:
             node = t.column("node").to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(node[root[some]])], names=["node", "root"])
 
-    return rows.mapInArrow(work, "node long, root long")
+    return rows.mapInArrow(common.light(work), "node long, root long")
 
 
 def _verified(rows: DataFrame, threshold: float, tolerance: float) -> DataFrame:
@@ -253,7 +253,7 @@ def _verified(rows: DataFrame, threshold: float, tolerance: float) -> DataFrame:
             root = np.array(_roots(len(sets), i, j))[some]
             yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(node[root]), pa.array(links[some].astype(np.int64))], names=["node", "root", "links"])
 
-    return rows.mapInArrow(work, "node long, root long, links long")
+    return rows.mapInArrow(common.light(work), "node long, root long, links long")
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:

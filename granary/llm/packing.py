@@ -163,4 +163,4 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
             yield flush(held)
 
     rows = docs.select(F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"))
-    return rows.coalesce(max(1, common.text_bytes(rows, "_text") // TASK_BYTES)).mapInArrow(work, schema)
+    return rows.coalesce(max(1, common.text_bytes(rows, "_text") // TASK_BYTES)).mapInArrow(common.light(work), schema)

@@ -231,7 +231,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     met = docs.select(own.cast("long").alias("id"), text.alias("text")).join(F.broadcast(chosen), "id")
     one = met.groupBy("id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    rows = one.mapInArrow(work, "id long, label int, x binary").collect()
+    rows = one.mapInArrow(common.light(work), "id long, label int, x binary").collect()
     rows.sort()
     x = np.array([np.frombuffer(r[2], np.float64) for r in rows]).reshape(-1, len(FEATURES))
     return fit_model(x, np.array([r[1] for r in rows], np.float64))
@@ -254,7 +254,9 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", accept: float =
     @F.arrow_udf("double")
     def scored(texts: pa.Array) -> pa.Array:
         batch = pa.RecordBatch.from_arrays([texts], names=["t"])
-        return pa.array(np.concatenate([np.zeros(0), *[model.score(x) for x, _, _ in _featured(batch, 0)]]))
+        got = pa.array(np.concatenate([np.zeros(0), *[model.score(x) for x, _, _ in _featured(batch, 0)]]))
+        common.give_back()
+        return got
 
     name = common.free_name(docs, "score")
     return docs.withColumn(name, scored(F.col(text_col))).withColumn(common.free_name(docs, "predicted"), (F.col(name) >= accept).cast("int"))

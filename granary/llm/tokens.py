@@ -48,14 +48,23 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[int, int] = {}
+        self.keys = np.zeros(0, U)  # hashes of units in order, and the entry of each
+        self.entry = np.zeros(0, np.int32)
         self.flat = np.zeros(1 << 16, np.int32)
-        self.used = 0
+        self.used = self.count = 0
         self.start = np.zeros(1 << 14, np.int64)
         self.size = np.zeros(1 << 14, np.int32)
 
-    def _add(self, hashes: list[int], ids: np.ndarray, sizes: np.ndarray) -> None:
-        n, k = len(self.at), len(hashes)
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The entry of each hash, or -1."""
+        if not len(self.keys):
+            return np.full(len(hashes), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        return np.where(self.keys[at] == hashes, self.entry[at], -1).astype(np.int64)
+
+    def _add(self, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Append entries, and say which; they are found once they are put in order."""
+        n, k = self.count, len(hashes)
         while n + k > len(self.start):
             self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
         while self.used + len(ids) > len(self.flat):
@@ -63,15 +72,17 @@ class Encoder:
         self.flat[self.used : self.used + len(ids)] = ids
         self.start[n : n + k] = self.used + np.cumsum(sizes) - sizes
         self.size[n : n + k] = sizes
-        self.at.update(zip(hashes, range(n, n + k)))
         self.used += len(ids)
+        self.count += k
+        return np.arange(n, n + k)
 
     def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         return np.array([i for x in got for i in x], np.int32), np.array([len(x) for x in got], np.int64)
 
     def _learn(self, hashes: np.ndarray, spelled: list[str], plain: np.ndarray) -> None:
-        """Encode new units: those of letters alone in joined runs, split again at the ids that end a word."""
+        """Encode new units, whose hashes are in order: those of letters alone in joined runs, split again at the ids that end a word."""
+        added = np.zeros(len(hashes), np.int32)
         p = np.flatnonzero(plain).tolist()
         for s in range(0, len(p), JOIN):
             part = p[s : s + JOIN]
@@ -81,10 +92,12 @@ class Encoder:
                 ids, sizes = self._whole([spelled[i] for i in part])
             else:
                 sizes = np.diff(last, prepend=-1)
-            self._add(hashes[part].tolist(), ids, sizes)
+            added[part] = self._add(hashes[part], ids, sizes)
         rest = np.flatnonzero(~plain).tolist()
         if rest:
-            self._add(hashes[rest].tolist(), *self._whole([spelled[i] for i in rest]))
+            added[rest] = self._add(hashes[rest], *self._whole([spelled[i] for i in rest]))
+        at = np.searchsorted(self.keys, hashes)
+        self.keys, self.entry = np.insert(self.keys, at, hashes), np.insert(self.entry, at, added)
 
     def encode(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after another, and where each text's ids begin, plus the end."""
@@ -92,17 +105,16 @@ class Encoder:
         h = words.hash_spans(data, first, last)
         h[odd] ^= U(0x5851F42D4C957F2D)
         uniq, where, back = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.at) + len(uniq) > self.capacity:
+        if self.count + len(uniq) > self.capacity:
             self.clear()
-        keys = uniq.tolist()
-        known = np.fromiter((self.at.get(k, -1) for k in keys), np.int64, len(keys))
+        known = self._find(uniq)
         new = np.flatnonzero(known < 0)
         if len(new):
             w = where[new]
             raw = data.tobytes()
             spelled = [raw[s:e].decode() for s, e in zip(first[w].tolist(), last[w].tolist())]
             self._learn(uniq[new], spelled, ~odd[w] & (_KIND[data[first[w]]] == 1))
-            known[new] = [self.at[keys[i]] for i in new.tolist()]
+            known[new] = self._find(uniq[new])
         entry = known[back]
         size = self.size[entry].astype(np.int64)
         ends = np.cumsum(size)

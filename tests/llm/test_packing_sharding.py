@@ -72,6 +72,42 @@ def test_cache_overflow_keeps_results():
         assert ids[at[1] : at[2]].tolist() == e.tokenizer.encode("four five six seven", add_special_tokens=False).ids
 
 
+def test_cache_holds_few_bytes_a_unit():
+    import tracemalloc
+
+    e = tokens.Encoder(packing.vocabulary())
+    n = 20_000
+    units = ["".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(n)]
+    data, starts = common.utf8(pa.array([" ".join(units)]))
+    held = []
+    for own in (tokens.Encoder(packing.vocabulary()), e):  # the first has what the code keeps by itself
+        tracemalloc.start()
+        own.encode(data, starts)
+        held.append(tracemalloc.get_traced_memory()[0])
+        tracemalloc.stop()
+    assert held[1] < 80 * n
+
+
+def test_a_worker_gives_its_memory_back():
+    import os
+
+    def resident():
+        return int(open("/proc/self/statm").read().split()[1]) * os.sysconf("SC_PAGE_SIZE")
+
+    pins = []
+
+    def work(batches):
+        for b in batches:
+            held = [np.ones(12_000, np.int8) for _ in range(16_000)]
+            pins.append(np.ones(12_000, np.int8))  # what stays lies above what goes
+            del held
+            yield b
+
+    before = resident()
+    assert list(common.light(work)(iter([1, 2]))) == [1, 2]
+    assert resident() - before < 60 << 20
+
+
 def test_shards_hold_every_row_once(docs, rows):
     got = sharding.shuffle_into_shards(docs, 4, seed=3, bucket_bytes=1 << 16)
     found = got.collect()
