@@ -156,15 +156,16 @@ def char_accuracy(reference: Column, heard: Column) -> Column:
     return F.when(r == "", F.when(h == "", 1.0).otherwise(0.0)).otherwise(F.greatest(F.lit(0.0), 1 - F.levenshtein(r, h) / F.length(r)))
 
 
-def first_contained(texts: DataFrame, text: str, passages: DataFrame, passage: str, key: str = "doc_id") -> DataFrame:
+def first_contained(texts: DataFrame, text: str, passages: DataFrame, passage: str, key: str | None = None) -> DataFrame:
     """Rows of texts and passages where the text contains the passage whole.
 
     Both are keyed by runs of three words: a passage by its second to fourth word, which stand in the text as whole words
     if the passage does. Of the texts only ids and the keys that some passage has are joined; the few pairs that meet
     fetch their texts and are compared. The passages' keys are few and narrow; they are sent to the texts while they are
     under KEYS, and joined by a shuffle beyond that. Passages of fewer than five words can't be keyed this way; they are
-    keyed by their first three characters instead, in the same manner. `key` is unique in texts.
+    keyed by their first three characters instead, in the same manner. `key`, by default the first column, is unique in texts.
     """
+    key = key or texts.columns[0]
     wide = passages.withColumn("_w", _words(F.col(passage)))
     long_ = _keyed_join(texts, text, wide.where(F.size("_w") >= 5).withColumn("_key", F.xxhash64(*[F.try_element_at("_w", F.lit(i)) for i in (2, 3, 4)])).drop("_w"), passage, key, _triples)
     short = wide.where((F.size("_w") < 5) & (F.col(passage) != ""))
